@@ -1,0 +1,31 @@
+"""Connected components by neighbor minimum and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .storage import drop_stored, stored
+
+
+def min_labels(vertices: DataFrame, links: DataFrame) -> DataFrame:
+    """Vertices (v, rank) with the smallest (rank, v) of their component as ``root`` and ``root_rank``.
+
+    ``links`` has columns a and b, taken as undirected; links to unknown vertices are ignored. A round takes the
+    neighbors' minimum and then the label's own label, so that rounds grow with the logarithm of a component's width.
+    """
+    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = stored(vertices.select("v", F.struct(F.col("rank"), F.col("v").alias("id")).alias("label")), "labels")
+    while True:
+        heard = both.join(labels, both.a == labels.v).groupBy("b").agg(F.min("label").alias("heard"))
+        nearer = labels.join(heard, labels.v == heard.b, "left").select("v", "label", F.least("label", F.coalesce("heard", "label")).alias("near"))
+        nearer = stored(nearer, "near")
+        ends = nearer.select(F.col("v").alias("end"), F.col("near").alias("far"))
+        moved = nearer.filter("near <> label")
+        if moved.isEmpty():
+            drop_stored(both)
+            return nearer.select("v", F.col("label.id").alias("root"), F.col("label.rank").alias("root_rank"))
+        jumped = nearer.join(ends, F.col("near.id") == F.col("end"), "left").select("v", F.least("near", F.coalesce("far", "near")).alias("label"))
+        drop_stored(labels)
+        labels = stored(jumped, "labels")
+        drop_stored(nearer)
