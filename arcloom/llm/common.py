@@ -1,55 +1,48 @@
-"""Helpers shared by the text operators: shared-folder tables, batches, word rules."""
+"""Helpers shared by the text operators: word rules, hashes and batches."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import drop_stored, free, shared_dir, stored
+
+__all__ = ["SPACES", "WordHashes", "drop_stored", "free", "mixed", "shared_dir", "stored", "words_col"]
+
 #: The ASCII white space that separates words: space and \x09-\x0D.
 SPACES = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = made.get() if made.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), "arcloom-shared")
-    return folder.rstrip("/")
-
+def words_col(text) -> "F.Column":
+    """The words of a text column as an array, without empty ones."""
+    return F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+class WordHashes(dict):
+    """64-bit hashes of words, the same on every machine; keeps those of frequent words."""
 
-def free(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished, unreferenced jobs before the next large one."""
-    import gc
+    KEPT = 500_000
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def __init__(self):
+        import xxhash
 
+        self.hash = xxhash.xxh3_64_intdigest
 
-def text_bytes(values) -> list[bytes]:
-    """An Arrow string column as UTF-8 byte strings; null is empty."""
-    import pyarrow as pa
+    def __missing__(self, word: bytes) -> int:
+        value = self.hash(word)
+        if len(self) < self.KEPT:
+            self[word] = value
+        return value
 
-    return [v or b"" for v in values.cast(pa.binary()).to_pylist()]
+    def of(self, words: list[bytes]):
+        import numpy as np
 
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
-def ascii_words(text: bytes) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; bytes.split() and bytes.lower() use exactly these ASCII rules."""
-    return text.lower().split()
 
+def mixed(h):
+    """Spreads the entropy of 64-bit hashes over all their bits."""
+    import numpy as np
 
-def words_col(text) -> "F.Column":
-    """The words of a text column as an array, without empty ones."""
-    return F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
