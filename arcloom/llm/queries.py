@@ -36,6 +36,18 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixing_table
+
+    return mixing_table(table(spark, sf_dir, "documents"))
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import lm_scores
 
@@ -75,8 +87,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("lang")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"pipeline": pipeline}
 
 
 OP2_SQL = """
