@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words_col
+from .common import stored, words_col
 
 #: Words in each language's common-word histogram.
 COMMON_WORDS = 16
@@ -20,9 +20,11 @@ MIN_WORDS = 50
 MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.25
 WORD_NOISE = 1.0
+#: Up to so many languages, the references (some hundred bytes each) are broadcast.
+BROADCAST_LANGUAGES = 1_000
 SYMBOLS = r"[#*$%&|<>]"
 #: Character classes and the expressions that count them; white space and the rest follow from the length.
-CLASSES = {"n_upper": r"\p{Lu}", "n_lower": r"[\p{L}&&[^\p{Lu}]]", "n_digit": r"\p{Nd}", "n_point": r"[.,;:!?'\"()-]"}
+CLASSES = {"n_upper": r"\p{Lu}", "n_letter": r"\p{L}", "n_digit": r"\p{Nd}", "n_point": r"[.,;:!?'\"()-]"}
 
 
 def repeated_words(words: Column) -> Column:
@@ -49,31 +51,31 @@ def repeated_words(words: Column) -> Column:
     return F.get(F.transform(F.array(words), covered), F.lit(0)).cast("long")
 
 
-def base_metrics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, words and the plain counts of every document; null text counts as none."""
+def document_counts(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """Every count of every document in one pass over its text; ``listed`` has the common words of each lang."""
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("lang"), text.alias("text"), words_col(text).alias("words"))
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     dup_lines = F.get(F.transform(F.array(lines), lambda a: F.size(a) - F.size(F.array_distinct(a))), F.lit(0))
-    n_symbols = F.regexp_count("text", F.lit(SYMBOLS))
-    return split.select(
-        "doc_id", "lang", "words",
+    common = F.coalesce(F.col("ref_words"), F.expr("cast(array() as array<string>)"))
+    return split.join(listed, "lang", "left").select(
+        "doc_id", "lang",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        n_symbols.cast("long").alias("n_symbols"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         dup_lines.cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.length("text").cast("long").alias("n_chars"),
         *[F.regexp_count("text", F.lit(rule)).cast("long").alias(name) for name, rule in CLASSES.items()],
+        word_histogram(F.col("words"), common).alias("word_counts"),
     )
 
 
-def char_shares(prefix: str = "") -> list[Column]:
-    """Counts of the character classes, in one fixed order: upper, lower, digit, point, symbol, space, other."""
-    c = lambda name: F.col(prefix + name)
-    space = c("n_chars") - c("word_chars")
-    known = c("n_upper") + c("n_lower") + c("n_digit") + c("n_point") + c("n_symbols")
-    return [c("n_upper"), c("n_lower"), c("n_digit"), c("n_point"), c("n_symbols"), space, F.greatest(c("word_chars") - known, F.lit(0))]
+def char_counts() -> Column:
+    """Counts of the character classes in one order: upper, other letter, digit, point, symbol, space, rest."""
+    space = F.col("n_chars") - F.col("word_chars")
+    rest = F.col("word_chars") - F.col("n_letter") - F.col("n_digit") - F.col("n_point") - F.col("n_symbols")
+    return F.array(F.col("n_upper"), F.col("n_letter") - F.col("n_upper"), F.col("n_digit"), F.col("n_point"), F.col("n_symbols"), space, F.greatest(rest, F.lit(0)))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -99,33 +101,28 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.get(F.transform(F.array(pair), of), F.lit(0))
 
 
-def language_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> DataFrame:
-    """One row for each language, from all its documents: character-class counts, commonest words and their counts.
+def common_word_lists(docs: DataFrame, common_words: int = COMMON_WORDS) -> DataFrame:
+    """The commonest words of each language, counted over all its documents; ties go to the smaller word."""
+    words = docs.select(F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.explode(words_col(F.lower("text"))).alias("word"))
+    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
+    listed = ranked.filter(F.col("rank") <= common_words).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("top"))
+    return listed.select("lang", F.transform("top", lambda x: x["word"]).alias("ref_words"))
 
-    Rows grow with the number of languages only. Ties between words go to the smaller word.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.coalesce(F.col("lang"), F.lit("")).alias("lang"), text.alias("text"), words_col(text).alias("words"))
-    counts = [F.regexp_count("text", F.lit(rule)).cast("long").alias(name) for name, rule in CLASSES.items()]
-    chars = (
-        base.select("lang", F.length("text").cast("long").alias("n_chars"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-                    F.size("words").cast("long").alias("n_words"), F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"), *counts)
-        .groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("n_chars", "word_chars", "n_words", "n_symbols", *CLASSES)])
-    )
-    every = base.select("lang", F.explode("words").alias("word")).select("lang", F.lower("word").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = every.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= common_words)
-    listed = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
-    joined = chars.join(listed, "lang", "left")
-    named = F.coalesce(F.col("top"), F.expr("cast(array() as array<struct<rank:int,word:string,n:bigint>>)"))
-    joined = joined.withColumn("top", named)
-    rest = F.col("n_words") - F.aggregate("top", F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    return joined.select(
-        "lang",
-        F.array(*char_shares()).alias("ref_chars"),
-        F.transform("top", lambda x: x["word"]).alias("ref_words"),
-        F.concat(F.transform("top", lambda x: x["n"]), F.array(rest)).alias("ref_counts"),
-    )
+
+def language_references(counts: DataFrame) -> DataFrame:
+    """One row for each language: its summed character-class counts and its summed common-word counts."""
+    names = ("n_chars", "word_chars", "n_symbols", *CLASSES)
+    chars = counts.groupBy("lang").agg(*[F.sum(c).alias(c) for c in names]).select("lang", char_counts().alias("ref_chars"))
+    each = counts.select("lang", F.posexplode("word_counts").alias("at", "n")).groupBy("lang", "at").agg(F.sum("n").alias("n"))
+    words = each.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("ref_counts"))
+    return chars.join(words, "lang")
+
+
+def by_language(table: DataFrame, name: str) -> DataFrame:
+    """A table with one row for each language: broadcast while it is small, which is checked, and joined plainly else."""
+    table = stored(table, name)
+    return F.broadcast(table) if table.count() <= BROADCAST_LANGUAGES else table
 
 
 def word_histogram(words: Column, listed: Column) -> Column:
@@ -157,14 +154,14 @@ def quality_rules(
     its own. One row for each input row, repeated rows included. A document with fewer than ``min_words`` words has
     distances null and fails the base rules; an empty table gives an empty result.
     """
-    refs = language_references(docs, common_words)
-    base = base_metrics(docs).join(refs, "lang", "left")
+    counts = stored(document_counts(docs, by_language(common_word_lists(docs, common_words), "lists")), "counts")
+    base = counts.join(by_language(language_references(counts), "references"), "lang", "left")
     enough = F.col("n_words") >= min_words
     judged = base.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
-        F.when(enough, F.round(js_distance(F.array(*char_shares()), F.col("ref_chars")), 9)).alias("char_distance"),
-        F.when(enough, F.round(js_distance(word_histogram(F.col("words"), F.col("ref_words")), F.col("ref_counts")), 9)).alias("word_distance"),
+        F.when(enough, F.round(js_distance(char_counts(), F.col("ref_chars")), 9)).alias("char_distance"),
+        F.when(enough, F.round(js_distance(F.col("word_counts"), F.col("ref_counts")), 9)).alias("word_distance"),
     )
     passes = (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance) & (
         F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance + word_noise / F.sqrt(F.greatest("n_words", F.lit(1)))
