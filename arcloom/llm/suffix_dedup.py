@@ -77,35 +77,38 @@ def refine(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Bucket identifiers of the WINDOW-byte strings at ``starts``; equal strings, and only they, share one.
 
     ``data`` must be readable for WINDOW bytes from every start. Buckets of 8-byte prefixes are refined by the
-    identifiers 8, 16, 32, 64 and at last 72 bytes on; a suffix whose bucket has no other member is done.
+    identifiers 8, 16, 32, 64 and at last 72 bytes on; a suffix whose bucket has no other member is done and keeps its
+    identifier.
     """
     padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-    ids = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)]
-    ids = np.ascontiguousarray(ids).view("<u8").ravel()
+    prefix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)]).view("<u8").ravel()
+    names, ids, times = np.unique(prefix, return_inverse=True, return_counts=True)
     ids = ids.astype(np.uint64)
-    known = 8
-    while known < WINDOW:
+    open_ = np.flatnonzero(times[ids.astype(np.int64)] > 1)
+    used, known = len(names), 8
+    while known < WINDOW and len(open_):
         step = min(known, WINDOW - known)
-        # positions that later steps or the starts themselves still read
-        later = np.concatenate([ids[step:], np.zeros(step, dtype=np.uint64)])
-        if known == 8:
-            _, ids = np.unique(ids, return_inverse=True)
-            _, later = np.unique(later, return_inverse=True)
-        pair = ids.astype(np.uint64) << np.uint64(32) | later.astype(np.uint64)
-        _, ids = np.unique(pair, return_inverse=True)
-        ids = ids.astype(np.uint64)
-        known += step
+        later = ids[np.minimum(open_ + step, len(ids) - 1)]  # beyond the end only where no start reads
+        names, at, times = np.unique(ids[open_] << np.uint64(32) | later, return_inverse=True, return_counts=True)
+        ids[open_] = at.astype(np.uint64) + np.uint64(used)
+        open_ = open_[times[at] > 1]
+        used, known = used + len(names), known + step
     return ids[starts]
 
 
+def window_starts(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts as one array, where in it each window starts, and the number of windows of each context."""
+    sizes = np.array([len(c) for c in contexts], dtype=np.int64)
+    counts = sizes - (WINDOW - 1)
+    heads = np.cumsum(sizes) - sizes
+    starts = np.repeat(heads - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    return np.frombuffer(b"".join(contexts), dtype=np.uint8), starts, counts
+
+
 def repeated_starts(contexts: list[bytes]) -> list[np.ndarray]:
     """For each context, which of its window starts hold a string that another start among all contexts holds too."""
-    counts = np.array([len(c) - WINDOW + 1 for c in contexts])
-    data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
-    heads = np.concatenate([[0], np.cumsum([len(c) for c in contexts])[:-1]])
-    starts = np.repeat(heads - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-    ids = refine(data, starts)
-    _, at, times = np.unique(ids, return_inverse=True, return_counts=True)
+    data, starts, counts = window_starts(contexts)
+    _, at, times = np.unique(refine(data, starts), return_inverse=True, return_counts=True)
     return np.split(times[at] > 1, np.cumsum(counts)[:-1])
 
 
@@ -126,6 +129,12 @@ def _bytes_of(value) -> bytes:
     return buffer.to_pybytes() if buffer is not None else b""
 
 
+def _slices(batches, rows: int = 1024):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_rows(docs: DataFrame) -> DataFrame:
     """doc_id and the text as bytes, with its 128-bit name (k1, k2)."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -193,61 +202,88 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     free(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True)
-            for k1, k2, text, wanted in names:
+        for batch in _slices(batches):
+            flat = batch.column(3).flatten()
+            keys, firsts, ns, larges = flat.flatten()
+            ends = (firsts.to_numpy() + ns.to_numpy() + (WINDOW - 1)).tolist()
+            counts = np.diff(batch.column(3).offsets.to_numpy())
+            pieces, starts, at = [], firsts.to_pylist(), 0
+            for text, n in zip(batch.column(2), counts.tolist(), strict=True):
                 data = _bytes_of(text)
-                flat = wanted.values
-                keys, firsts, ns, larges = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-                contexts = [data[a : a + n + WINDOW - 1] for a, n in zip(firsts.tolist(), ns.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), k1, dtype=np.int64)), pa.array(np.full(len(keys), k2, dtype=np.int64)), pa.array(keys), pa.array(firsts), pa.array(larges), pa.array(contexts, pa.binary())],
-                    ["k1", "k2", "anchor", "first", "large", "context"],
-                )
+                pieces += [data[a:b] for a, b in zip(starts[at : at + n], ends[at : at + n], strict=True)]
+                at += n
+            owners = [pa.array(np.repeat(batch.column(i).to_numpy(), counts)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*owners, keys, firsts, larges, pa.array(pieces, pa.binary())], ["k1", "k2", "anchor", "first", "large", "context"])
 
     contexts = chosen.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted")
-    contexts = stored(contexts.mapInArrow(joined_batches(cut), "k1 long, k2 long, anchor long, first long, large boolean, context binary"), "contexts")
+    contexts = stored(contexts.mapInArrow(cut, "k1 long, k2 long, anchor long, first long, large boolean, context binary"), "contexts")
 
     kinds = "k1 long, k2 long, from long, to long"
     names = [x.split()[0] for x in kinds.split(", ")]
 
-    def spans_of(k1s, k2s, firsts, flags) -> pa.RecordBatch:
-        out = [[], [], [], []]
-        for k1, k2, first, flag in zip(k1s, k2s, firsts, flags, strict=True):
-            for a, b in zip(*runs(flag), strict=True):
-                for o, x in zip(out, (k1, k2, first + int(a), first + int(b) - 1 + WINDOW), strict=True):
-                    o.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names)
-
     def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of their anchors; a refinement holds whole buckets of at least BATCH_BYTES together."""
-        held, size, last = [], 0, None
+        """Rows come in order of their anchors. Equal contexts of a bucket are repeated as wholes; where a bucket has
+        several different contexts, one of each is refined, many buckets together."""
+        out: list[list] = [[], [], [], []]
+        waiting: list[tuple[bytes, list[tuple]]] = []
+        bucket: dict[bytes, list[tuple]] = {}
+        anchor, size = None, 0
+
+        def put(owners: list[tuple], firsts: list[int], ends: list[int]) -> None:
+            for k1, k2, first in owners:
+                for a, b in zip(firsts, ends, strict=True):
+                    out[0].append(k1), out[1].append(k2), out[2].append(first + a), out[3].append(first + b - 1 + WINDOW)
+
+        def close() -> int:
+            for context, owners in bucket.items():
+                if len(owners) > 1:
+                    put(owners, [0], [len(context) - WINDOW + 1])
+            several = [(c, o) for c, o in bucket.items()] if len(bucket) > 1 else []
+            waiting.extend(several)
+            bucket.clear()
+            return sum(len(c) for c, _ in several)
+
+        def sort() -> None:
+            for (_, owners), flags in zip(waiting, repeated_starts([c for c, _ in waiting]), strict=True):
+                if len(owners) == 1 and flags.any():
+                    put(owners, *(x.tolist() for x in runs(flags)))
+            waiting.clear()
+
+        def handed() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names)
+            for o in out:
+                o.clear()
+            return made
+
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4)), strict=True):
-                if row[2] != last and size >= BATCH_BYTES:
-                    yield spans_of(*zip(*[(r[0], r[1], r[3]) for r in held], strict=True), repeated_starts([r[4] for r in held]))
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-                last = row[2]
-        if held:
-            yield spans_of(*zip(*[(r[0], r[1], r[3]) for r in held], strict=True), repeated_starts([r[4] for r in held]))
+            for k1, k2, key, first, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != anchor:
+                    size += close()
+                    anchor = key
+                    if size >= BATCH_BYTES:
+                        sort()
+                        size = 0
+                bucket.setdefault(context, []).append((k1, k2, first))
+            yield handed()
+        close()
+        if waiting:
+            sort()
+        yield handed()
 
     small = contexts.filter("NOT large").select("k1", "k2", "anchor", "first", "context")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     in_tasks = small.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(sort_buckets, kinds)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k1, k2, first, context in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), batch.column(3), strict=True):
-                data = np.frombuffer(_bytes_of(context), dtype=np.uint8)
-                one, two = window_hashes(data, WINDOW), window_hashes(data[::-1], WINDOW)[::-1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(one), k1, dtype=np.int64)), pa.array(np.full(len(one), k2, dtype=np.int64)), pa.array(first + np.arange(len(one))), pa.array(one.view(np.int64)), pa.array(np.ascontiguousarray(two).view(np.int64))],
-                    ["k1", "k2", "at", "h1", "h2"],
-                )
-
-    crowded = contexts.filter("large").select("k1", "k2", "first", "context").mapInArrow(joined_batches(windows), "k1 long, k2 long, at long, h1 long, h2 long")
+        for batch in _slices(batches):
+            data, starts, counts = window_starts(batch.column(3).to_pylist())
+            at = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(batch.column(2).to_numpy(), counts)
+            one = window_hashes(data, WINDOW)[starts]
+            two = window_hashes(data[::-1], WINDOW)[::-1][starts]  # read from the other end: a second, independent hash
+            owners = [pa.array(np.repeat(batch.column(i).to_numpy(), counts)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*owners, pa.array(at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["k1", "k2", "at", "h1", "h2"])
+
+    crowded = contexts.filter("large").select("k1", "k2", "first", "context").mapInArrow(windows, "k1 long, k2 long, at long, h1 long, h2 long")
     crowded = stored(crowded, "windows")
     equal = crowded.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").select("h1", "h2")
     counted = crowded.join(equal, ["h1", "h2"]).select("k1", "k2", F.col("at").alias("from"), (F.col("at") + WINDOW).alias("to"))
