@@ -1,7 +1,7 @@
 """Chat formatting with a grammar round trip, in DataFrame functions only.
 
 A turn is rendered as ``<|im_start|>role\\ntext<|im_end|>\\n``. The parser splits on those marks and always unescapes.
-A turn whose own rendering does not parse back to itself is escaped: a backslash goes into every ``<|`` (and one more
+A rendering must hold each mark once: a turn whose own rendering does not, or does not parse back to itself, is escaped: a backslash goes into every ``<|`` (and one more
 into ``<\\|``, ``<\\\\|`` ...), which removes all control strings and is undone exactly by taking one backslash away.
 """
 
@@ -16,7 +16,7 @@ BETWEEN = r"\Q" + CLOSE + OPEN + r"\E"
 
 def escape(text: Column) -> Column:
     """``<|`` becomes ``<\\|``; any backslashes between < and | get one more."""
-    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape(text: Column) -> Column:
@@ -63,7 +63,7 @@ def chat_format(turns: DataFrame) -> DataFrame:
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     lone = F.get(parse(render(F.col("role"), F.col("text"))), F.lit(0))
-    one = F.size(parse(render(F.col("role"), F.col("text")))) == 1
+    one = F.regexp_count(render(F.col("role"), F.col("text")), F.lit(r"<\|im_(?:start|end)\|>")) == 2
     safe = one & (lone["role"] == F.col("role")) & (lone["text"] == F.col("text"))
     rows = rows.withColumn("safe", safe).select(
         "conv_id", "turn", "role", "text", "safe",

@@ -110,7 +110,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 OP8_SQL = r"""
 WITH t AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
-e AS (SELECT *, CASE WHEN regexp_matches(text, '<\\+\|') OR contains(text, '<|im_end|>' || chr(10) || '<|im_start|>')
+e AS (SELECT *, CASE WHEN regexp_matches(text, '<\\+\|') OR contains(text, '<|im_end|>') OR contains(text, '<|im_start|>')
                      THEN regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') ELSE text END AS as_text FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
