@@ -113,7 +113,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["set_key", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id)).select("text", "set_key")
+    # both sides are shuffled at every size: the wanted side grows with the documents
+    found = texts.join(wanted.hint("merge"), texts.doc_id.eqNullSafe(wanted.doc_id)).select("text", "set_key")
     return found.mapInArrow(build, "set_key binary, shingles array<long>").dropDuplicates(["set_key"])
 
 
