@@ -46,8 +46,8 @@ def described(docs: DataFrame) -> DataFrame:
 def targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
     """The target share of each value of a margin."""
     sums = cells.groupBy(margin).agg(F.sum("tokens").alias("t")).select(margin, F.pow("t", F.lit(power)).alias("part"))
-    whole = sums.agg(F.sum("part").alias("whole"))
-    return sums.crossJoin(F.broadcast(whole)).select(margin, (F.col("part") / F.col("whole")).alias("target"))  # one row
+    whole = sums.agg(F.sum("part")).first()[0] or 1.0
+    return sums.select(margin, (F.col("part") / F.lit(float(whole))).alias("target"))
 
 
 def raked(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:

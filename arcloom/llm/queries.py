@@ -119,6 +119,54 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+#: Words of each document: split at the ASCII white space, empty ones left out.
+WORDS = r"w AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents)"
+
+OP6_SQL = f"""
+WITH RECURSIVE {WORDS},
+l AS (SELECT doc_id, list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM w),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM l WHERE len(w) > 0) x),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, doc_id) AS component_id, doc_id = coalesce(c.c, doc_id) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = doc_id
+"""
+
+
+def _distance(table: str) -> str:
+    """SQL for the Jensen-Shannon distance of each document's counts (doc_id, n) from its language's (m)."""
+    return f"""SELECT doc_id, round(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END / 2 + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END / 2), 0)), 9) AS d
+    FROM (SELECT doc_id, n / nullif(sum(n) OVER (PARTITION BY doc_id), 0)::DOUBLE AS p, m / nullif(sum(m) OVER (PARTITION BY doc_id), 0)::DOUBLE AS q FROM {table}) x GROUP BY doc_id"""
+
+
+OP10_SQL = rf"""
+WITH {WORDS},
+b AS (SELECT doc_id, lang, w, len(w)::BIGINT AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS in_words, length(text)::BIGINT AS n_chars,
+      len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(text, '\p{{Lu}}')) AS up, len(regexp_extract_all(text, '\p{{L}}')) AS letter,
+      len(regexp_extract_all(text, '\p{{Nd}}')) AS digit, len(regexp_extract_all(text, '[.,;:!?''"()-]')) AS point,
+      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM w),
+t AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2) x),
+r AS (SELECT doc_id, count(DISTINCT i + j)::BIGINT AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM t) x, range(3) y(j) WHERE k > 1 GROUP BY doc_id),
+lw AS (SELECT doc_id, lang, lower(x) AS x FROM (SELECT doc_id, lang, unnest(w) AS x FROM w) y),
+top AS (SELECT lang, x, k FROM (SELECT lang, x, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, x) AS k FROM lw GROUP BY lang, x) y WHERE k <= 16),
+dw AS (SELECT doc_id, x, count(*) AS n FROM lw GROUP BY doc_id, x),
+wc AS (SELECT b.doc_id, b.lang, top.k, coalesce(dw.n, 0) AS n FROM b JOIN top USING (lang) LEFT JOIN dw ON dw.doc_id = b.doc_id AND dw.x = top.x),
+wa AS (SELECT doc_id, lang, k, n FROM wc UNION ALL SELECT doc_id, b.lang, 99, b.n_words - coalesce((SELECT sum(n) FROM wc WHERE wc.doc_id = b.doc_id), 0) FROM b),
+wx AS (SELECT doc_id, n, sum(n) OVER (PARTITION BY lang, k) AS m FROM wa),
+ca AS (SELECT doc_id, lang, unnest([1, 2, 3, 4, 5, 6, 7]) AS k, unnest([up, letter - up, digit, point, n_symbols, n_chars - coalesce(in_words, 0), greatest(coalesce(in_words, 0) - letter - digit - point - n_symbols, 0)]) AS n FROM b),
+cs AS (SELECT lang, sum(up) AS up, sum(letter) AS letter, sum(digit) AS digit, sum(point) AS point, sum(n_symbols) AS sy, sum(n_chars) AS ch, sum(coalesce(in_words, 0)) AS iw FROM b GROUP BY lang),
+cm AS (SELECT lang, unnest([1, 2, 3, 4, 5, 6, 7]) AS k, unnest([up, letter - up, digit, point, sy, ch - iw, greatest(iw - letter - digit - point - sy, 0)]) AS m FROM cs),
+cx AS (SELECT doc_id, n, m FROM ca JOIN cm USING (lang, k)),
+dc AS ({_distance("cx")}), dv AS ({_distance("wx")}),
+o AS (SELECT b.doc_id, n_words, coalesce(in_words, 0) AS word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+      n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words AS base_failed, CASE WHEN n_words >= 50 THEN dc.d END AS char_distance, CASE WHEN n_words >= 50 THEN dv.d END AS word_distance
+      FROM b LEFT JOIN r USING (doc_id) LEFT JOIN dc USING (doc_id) LEFT JOIN dv USING (doc_id))
+SELECT *, NOT base_failed AND coalesce(char_distance, 0) <= 0.30 AND coalesce(word_distance, 0) <= 0.25 + 1.0 / sqrt(greatest(n_words, 1)) AS kept FROM o
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": OP2_SQL, "op8_chat_format": OP8_SQL}
+    return {"op2_topk_search": OP2_SQL, "op6_minhash_dedup": OP6_SQL, "op8_chat_format": OP8_SQL, "op10_quality_rules": OP10_SQL}
