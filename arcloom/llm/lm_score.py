@@ -182,10 +182,11 @@ def build_filter(counts: DataFrame, blocks: int) -> np.ndarray:
 
     parts = max(1, min(blocks, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     dealt = counts.mapInArrow(named, "pair long, level int, block long").repartition(parts, "block").select("pair", "level")
-    out = np.zeros(blocks * BLOCK_BITS // 8, dtype=np.uint8)
-    for block, bits in dealt.mapInArrow(build, "block long, bits binary").toLocalIterator():
-        out[block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8] = np.frombuffer(bits, dtype=np.uint8)
-    return out
+    out = np.zeros((blocks, BLOCK_BITS // 8), dtype=np.uint8)
+    for batch in dealt.mapInArrow(build, "block long, bits binary").toArrow().to_batches():
+        for block, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out[block] = np.frombuffer(bits.as_buffer(), dtype=np.uint8)
+    return out.ravel()
 
 
 def _threshold(table: DataFrame, most: int, weight) -> int:
@@ -222,8 +223,10 @@ def lm_scores(docs: DataFrame, vocabulary: int = VOCABULARY, max_bits: int = MAX
     words = stored(word_counts(training), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = _threshold(words, vocabulary, F.lit(1))
-    named = words.filter(F.col("n") >= max(1, least)).orderBy(F.desc("n"), "word").toPandas()  # ``vocabulary`` rows at most
-    hashes = spark.sparkContext.broadcast(named["word"].to_numpy(dtype=np.int64).view(np.uint64))
+    named = words.filter(F.col("n") >= max(1, least)).select("word", "n").toArrow()  # ``vocabulary`` rows at most
+    order = np.lexsort((named["word"].to_numpy(), -named["n"].to_numpy()))
+    names, counted = named["word"].to_numpy()[order], named["n"].to_numpy()[order].astype(np.float64)
+    hashes = spark.sparkContext.broadcast(names.view(np.uint64))
     free(spark)
     pairs = bigram_counts(training, hashes).filter(F.col("n") >= LEAST_COUNT)
     pairs = stored(pairs.select("pair", "n", F.floor(F.log2("n")).cast("int").alias("level")), "pairs")
@@ -232,10 +235,10 @@ def lm_scores(docs: DataFrame, vocabulary: int = VOCABULARY, max_bits: int = MAX
     entries = entering.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
     blocks = max(1, min(max_bits, entries * ENTRY_BITS) // BLOCK_BITS)
     bloom = spark.sparkContext.broadcast(build_filter(entering.select("pair", "level"), blocks))
-    inside = np.zeros(len(named), dtype=np.float64)
-    sums = entering.groupBy(F.shiftright("pair", 32).cast("int").alias("h")).agg(F.sum(F.pow(F.lit(2.0), F.col("level"))).alias("s")).toPandas()
-    inside[sums["h"].to_numpy(dtype=np.int64)] = sums["s"].to_numpy(dtype=np.float64)
-    model = spark.sparkContext.broadcast((named["n"].to_numpy(dtype=np.float64), inside))
+    inside = np.zeros(len(names), dtype=np.float64)
+    sums = entering.groupBy(F.shiftright("pair", 32).cast("int").alias("h")).agg(F.sum(F.pow(F.lit(2.0), F.col("level"))).alias("s")).toArrow()
+    inside[sums["h"].to_numpy()] = sums["s"].to_numpy()
+    model = spark.sparkContext.broadcast((counted, inside))
     drop_stored(pairs)
     free(spark)
     mass = total + 0.5 * (distinct + 1)
