@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.random32 import nth_number, numbers
 from ..model import EDGE_KINDS, NODE_KINDS, UNDIRECTED, Graph, GraphError, complete, create_graph
+from ..plans.numbering import numbered
 
 
 def _whole(what: str, n: int) -> None:
@@ -62,14 +63,8 @@ def create_random_graph(spark: SparkSession, n: int, probability: float, seed: i
     _whole("the number of nodes", n)
     if not 0 <= probability <= 1:
         raise GraphError("the probability must lie between 0 and 1")
-    from pyspark.sql import Window
-
     drawn = _pairs(spark, n).filter(nth_number(seed, F.col("k") + 1) < probability)
-    # ids number the joined pairs through: counts of each first end, then the place within it
-    counts = drawn.groupBy("i").agg(F.count("*").alias("n")).withColumn("g", F.lit(0))
-    before = counts.select("i", (F.sum("n").over(Window.partitionBy("g").orderBy("i")) - F.col("n")).alias("before"))
-    at = F.row_number().over(Window.partitionBy("i").orderBy("j")) - 1
-    k = drawn.withColumn("at", at).join(before, "i").withColumn("e", F.col("before") + F.col("at"))
+    k = numbered(drawn, "k", name="e")
     name = lambda c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     return _made(_numbered(spark, n, prefix), k.select(F.concat(F.lit("e"), F.col("e").cast("string")).alias("id"), F.col("e").alias("ord"), name("i").alias("source_id"), name("j").alias("target_id")))
 

@@ -29,10 +29,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def _long(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("long") for c in columns})
-
-
 DEGREES = """ends AS (SELECT source_id AS id FROM e UNION ALL SELECT target_id FROM e), d AS (SELECT id, count(*) AS degree FROM ends GROUP BY id)"""
 
 

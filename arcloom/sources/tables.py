@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import DIRECTED, EDGE_KINDS, NODE_KINDS, UNDIRECTED, Graph, GraphError, complete, graph_from_tables
+from ..plans.numbering import numbered
 
 
 def to_edge_list(graph: Graph) -> DataFrame:
@@ -45,8 +46,7 @@ def from_adjacency_list(lists: DataFrame, mode: str = DIRECTED, parallel: str =
         each = each.groupBy("a", "b", "nth").agg(F.min(F.struct("ord", "at", "s", "t")).alias("e")).select("e.*")
     elif parallel != "preserve":
         each = each.filter("nth = 1")
-    number = F.row_number().over(Window.partitionBy("g").orderBy("ord", "at")) - 1  # ids number the edges through
-    edges = each.withColumn("g", F.lit(0)).select(number.alias("n"), "s", "t")
+    edges = numbered(each, "ord", "at").select("n", "s", "t")
     edges = edges.select(F.concat(F.lit("e"), "n").alias("id"), F.col("n").alias("ord"), F.col("s").alias("source_id"), F.col("t").alias("target_id"))
     last = lists.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0] + 1
     more = edges.groupBy(F.col("target_id").alias("id")).agg((F.min("ord") + last).alias("ord")).join(lists.select("id"), "id", "left_anti")
@@ -81,14 +81,13 @@ def from_adjacency_matrix(matrix: DataFrame, mode: str = DIRECTED) -> Graph:
         cells = cells.filter("i <= j")
     ids = matrix.select(F.col("i").alias("p"), "id")
     named = cells.join(ids.select(F.col("p").alias("i"), F.col("id").alias("source_id")), "i").join(ids.select(F.col("p").alias("j"), F.col("id").alias("target_id")), "j")
-    at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("i", "j")) - 1
-    edges = named.select(at.alias("ord"), "source_id", "target_id", F.col("w").alias("weight")).withColumn("id", F.concat(F.lit("e"), "ord"))
+    edges = numbered(named, "i", "j", name="ord").select("ord", "source_id", "target_id", F.col("w").alias("weight")).withColumn("id", F.concat(F.lit("e"), "ord"))
     return graph_from_tables(ids.select("id", F.col("p").alias("ord")), edges, mode)
 
 
 def to_matrix_market(graph: Graph) -> DataFrame:
     """The lines (at, value) of a coordinate file of real numbers."""
-    place = graph.distinct_nodes.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ord")).alias("p"))
+    place = numbered(graph.distinct_nodes, "ord", "id", name="p", start=1).select("id", "p")
     symmetric = graph.mode != DIRECTED and graph.edges.filter(graph.is_directed()).isEmpty()
     e = graph.valid_edges().join(place.select(F.col("id").alias("source_id"), F.col("p").alias("i")), "source_id").join(place.select(F.col("id").alias("target_id"), F.col("p").alias("j")), "target_id")
     i, j = (F.greatest("i", "j"), F.least("i", "j")) if symmetric else (F.col("i"), F.col("j"))
@@ -110,7 +109,7 @@ def from_matrix_market(lines: DataFrame) -> Graph:
     if layout == "coordinate":
         cells = rows.select("at", F.col("v")[0].alias("s"), F.col("v")[1].alias("t"), (F.lit(1.0) if field == "pattern" else F.get("v", F.lit(2)).cast("double")).alias("w"))
     else:
-        k = rows.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at")) - 1).alias("at"), F.col("v")[0].cast("double").alias("w"))
+        k = numbered(rows, "at").select(F.col("n").alias("at"), F.col("v")[0].cast("double").alias("w"))
         if symmetry == "symmetric":  # columns of the lower half: column c starts after n + (n - 1) + ... entries
             starts = [c * n - c * (c - 1) // 2 for c in range(n)]
             column = F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= F.col("at"))) - 1
@@ -119,7 +118,7 @@ def from_matrix_market(lines: DataFrame) -> Graph:
             k = k.withColumns({"c": F.floor(F.col("at") / n), "r": F.col("at") % n})
         cells = k.filter("w <> 0").select("at", (F.col("r") + 1).cast("string").alias("s"), (F.col("c") + 1).cast("string").alias("t"), "w")
     ids = lines.sparkSession.range(1, n + 1).select(F.col("id").cast("string").alias("id"), F.col("id").alias("ord"))
-    edges = cells.select(F.concat(F.lit("e"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at")) - 1).alias("id"), F.col("at").alias("ord"), F.col("s").alias("source_id"), F.col("t").alias("target_id"), F.col("w").alias("weight"))
+    edges = numbered(cells, "at").select(F.concat(F.lit("e"), "n").alias("id"), F.col("at").alias("ord"), F.col("s").alias("source_id"), F.col("t").alias("target_id"), F.col("w").alias("weight"))
     return graph_from_tables(ids, edges, UNDIRECTED if symmetry == "symmetric" else DIRECTED)
 
 
