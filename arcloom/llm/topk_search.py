@@ -7,7 +7,6 @@ the blocks' lists are merged. Every query meets every candidate block once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
