@@ -20,7 +20,7 @@ def words_col(text) -> "F.Column":
 class WordHashes(dict):
     """64-bit hashes of words, the same on every machine; keeps those of frequent words."""
 
-    KEPT = 500_000
+    KEPT = 250_000
 
     def __init__(self):
         import xxhash

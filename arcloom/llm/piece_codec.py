@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Parts kept with their ids in each Python worker; further parts are encoded anew each time they occur.
-KEPT_PARTS = 400_000
+KEPT_PARTS = 250_000
 #: Pairs of pieces kept with whether the second may follow the first.
-KEPT_PAIRS = 500_000
+KEPT_PAIRS = 200_000
 #: Parts longer than this are not kept.
 KEPT_CHARS = 48
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ PIECE = 1 << 20
 #: Anchors with more members are refined by counting equal windows instead of in one task.
 LARGE = 512
 #: Bytes of contexts that one refinement sorts.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Exact copies above this number are represented by two of them.
 COPIES = 64
 
@@ -155,8 +156,6 @@ def represented(rows: DataFrame) -> DataFrame:
 
 
 def anchor_rows(rows: DataFrame) -> DataFrame:
-    import pyarrow as pa
-
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -171,8 +170,6 @@ def anchor_rows(rows: DataFrame) -> DataFrame:
 
 def joined_batches(f):
     """``f`` with its small record batches put together before they go back to the JVM."""
-    import pyarrow as pa
-
     def wrapped(batches):
         held, size = [], 0
         for batch in f(batches):
@@ -189,8 +186,6 @@ def joined_batches(f):
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """k1, k2 and spans (sorted array of from, to) of the bytes to cut from each text that has any."""
-    import pyarrow as pa
-
     spark = docs.sparkSession
     rows = text_rows(docs)
     chosen = represented(rows)
@@ -277,20 +272,27 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             data, starts, counts = window_starts(batch.column(3).to_pylist())
-            at = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(batch.column(2).to_numpy(), counts)
+            at = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
             one = window_hashes(data, WINDOW)[starts]
             two = window_hashes(data[::-1], WINDOW)[::-1][starts]  # read from the other end: a second, independent hash
-            owners = [pa.array(np.repeat(batch.column(i).to_numpy(), counts)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*owners, pa.array(at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["k1", "k2", "at", "h1", "h2"])
-
-    crowded = contexts.filter("large").select("k1", "k2", "first", "context").mapInArrow(windows, "k1 long, k2 long, at long, h1 long, h2 long")
-    crowded = stored(crowded, "windows")
-    equal = crowded.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").select("h1", "h2")
-    counted = crowded.join(equal, ["h1", "h2"]).select("k1", "k2", F.col("at").alias("from"), (F.col("at") + WINDOW).alias("to"))
+            owners = [pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), counts)) for i in (0, 1, 2)]
+            yield pa.RecordBatch.from_arrays([*owners, pa.array(at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["c1", "c2", "single", "at", "h1", "h2"])
+
+    # large buckets: equal contexts are repeated as wholes, and one of each different context is split into its windows
+    crowded = contexts.filter("large").select("k1", "k2", "anchor", "first", "context", F.xxhash64("context").alias("c1"), F.xxhash64(F.lit(7), "context").alias("c2"))
+    kinds_of = stored(crowded.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("copies"), F.first("context").alias("context")), "distinct")
+    mixed_anchors = kinds_of.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    split = kinds_of.join(mixed_anchors, "anchor", "left_semi").select("c1", "c2", (F.col("copies") == 1).alias("single"), "context")
+    split = stored(split.mapInArrow(windows, "c1 long, c2 long, single boolean, at long, h1 long, h2 long"), "windows")
+    equal = split.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").select("h1", "h2")
+    parts_of = split.filter("single").join(equal, ["h1", "h2"]).select("c1", "c2", F.col("at").alias("a"), (F.col("at") + WINDOW).alias("b"))
+    wholes = kinds_of.filter("copies > 1").select("c1", "c2", F.lit(0).cast("long").alias("a"), F.octet_length("context").cast("long").alias("b"))
+    cut_of = parts_of.unionByName(wholes)
+    counted = crowded.select("k1", "k2", "first", "c1", "c2").join(cut_of, ["c1", "c2"]).select("k1", "k2", (F.col("first") + F.col("a")).alias("from"), (F.col("first") + F.col("b")).alias("to"))
     both = in_tasks.unionByName(counted)
     spans = both.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))
     spans = stored(spans, "spans")
-    for used in (contexts, crowded, wanted):
+    for used in (contexts, kinds_of, split, wanted):
         drop_stored(used)
     free(spark)
     return spans
@@ -310,8 +312,6 @@ def suffix_digest(docs: DataFrame) -> DataFrame:
     Needs doc_id and text; other columns are ignored. Null text is empty. Repeated rows count as texts of their own, so
     each row of a text of WINDOW bytes or more that is there twice loses it all. An empty table gives no rows.
     """
-    import pyarrow as pa
-
     spans = repeated_spans(docs)
     rows = text_rows(docs).select("doc_id", "text", "k1", "k2")
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -344,18 +344,13 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
     Null texts stay null; all rows and all other columns are kept as they are.
     """
-    import pyarrow as pa
-
     spans = repeated_spans(docs).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "spans": "_spans"})
     binary = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = docs.withColumns({"_k1": F.xxhash64(binary), "_k2": F.xxhash64(F.lit(7), binary)})
 
-    @F.pandas_udf("string")
-    def kept(texts, spans):  # the texts that lose something
-        import pandas as pd
-
-        arrays = pa.array([None if s is None else [(int(x["from"]), int(x["to"])) for x in s] for s in spans], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))
-        return pd.Series([_cut(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(texts, arrays, strict=True)])
+    @F.arrow_udf("string")
+    def kept(texts: pa.Array, spans: pa.Array) -> pa.Array:  # the texts that lose something
+        return pa.array([_cut(_bytes_of(t), s)[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], pa.string())
 
     joined = keyed.join(spans, ["_k1", "_k2"], "left")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept(F.coalesce("text", F.lit("")), F.coalesce("_spans", F.expr("cast(array() as array<struct<from:bigint,to:bigint>>)"))))
