@@ -61,7 +61,7 @@ def document_counts(docs: DataFrame, listed: DataFrame) -> DataFrame:
     return split.join(listed, "lang", "left").select(
         "doc_id", "lang",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        (F.length("text") - F.regexp_count("text", F.lit(r"[ \t-\r]"))).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         dup_lines.cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
@@ -129,13 +129,13 @@ def word_histogram(words: Column, listed: Column) -> Column:
     """How often each listed word occurs, and last how many other words there are."""
 
     def of(x: Column) -> Column:
-        known = F.filter(F.transform(x["words"], F.lower), lambda w: F.array_contains(x["listed"], w))
+        known = F.filter(x["words"], lambda w: F.array_contains(x["listed"], F.lower(w)))
 
         def counted(k: Column) -> Column:
-            each = F.transform(x["listed"], lambda name: F.size(F.filter(k, lambda w: w == name)).cast("long"))
+            each = F.transform(x["listed"], lambda name: (F.size(k) - F.size(F.array_remove(k, name))).cast("long"))
             return F.concat(each, F.array((F.size(x["words"]) - F.size(k)).cast("long")))
 
-        return F.get(F.transform(F.array(known), counted), F.lit(0))
+        return F.get(F.transform(F.array(F.transform(known, F.lower)), counted), F.lit(0))
 
     return F.get(F.transform(F.array(F.struct(words.alias("words"), listed.alias("listed"))), of), F.lit(0))
 
