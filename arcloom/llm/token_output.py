@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 BLOCK_IDS = 1 << 20
 #: Every how many set bits the select structure keeps a position.
 SELECT_STEP = 256
-#: Stretches of text kept with their ids in each Python worker, and the longest that is kept.
-KEPT_PARTS, KEPT_CHARS = 400_000, 48
+#: Words kept with their ids in each Python worker, and the longest that is kept.
+KEPT_WORDS, KEPT_CHARS = 1_000_000, 48
 
 
 class EliasFano:
@@ -78,11 +78,18 @@ class EliasFano:
         return cls(n, bound, low_bits, data[end + highs :], data[end : end + highs], data[at:end])
 
 
+#: White space that is not the same to every library, and other than ASCII.
+ODD_ASCII = "\x1c\x1d\x1e\x1f"
+ODD_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+PAIRS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c")
+
+
 class TokenEncoder:
-    """Ids by the tokenizers library, with the ids of frequent stretches kept.
+    """Ids by the tokenizers library, with the ids of frequent words kept.
 
-    Byte-level BPE never merges across the start of a run of white space that follows other characters, so a text may
-    be cut there; each stretch is encoded by the library once and looked up afterwards.
+    Byte-level BPE never merges across the start of white space that follows other characters. Where every space in a
+    text stands before a word, the text may therefore be cut at its spaces; each distinct word is encoded by the library
+    once, many in one call, and looked up afterwards. Other texts go to the library whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -90,34 +97,44 @@ class TokenEncoder:
 
         self.library = Tokenizer.from_file(vocabulary)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        size = self.library.get_vocab_size()
+        #: Each sign of a token stands for one byte of text.
+        self.widths = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
         self.kept: dict[str, bytes] = {}
 
-    def parts(self, text: str) -> list[str]:
-        import re
+    @staticmethod
+    def plain(text: str) -> bool:
+        """Whether every space of the text stands before a character that is not white space."""
+        if text.startswith(" ") or text.endswith(" ") or any(p in text for p in PAIRS) or any(c in text for c in ODD_ASCII):
+            return False
+        return text.isascii() or not any(c in text for c in ODD_WIDE)
 
-        if re.search("[\x1c-\x1f\x85]|\\s\\s", text) or text.startswith(" "):
-            if re.search("[\x1c-\x1f\x85]", text):  # not white space to every library
-                return [text]
-            return re.findall(r"\s+\S*|\S+", text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that each follow a space, from one call; none is empty or starts with white space."""
+        ids = np.array(self.library.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.cumsum([1 + len(w.encode("utf-8", "surrogatepass")) for w in words])
+        cuts = [0, *np.searchsorted(np.cumsum(self.widths[ids]), ends, side="left") + 1]
+        flat = ids.tobytes()
+        return {w: flat[4 * a : 4 * b] for w, a, b in zip(words, cuts, cuts[1:], strict=False)}
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        parts, kept = self.parts(text), self.kept
+        if not self.plain(text):
+            return self.whole(text)
+        first, *rest = text.split(" ")
+        kept = self.kept
         try:
-            return b"".join([kept[p] for p in parts])
+            return self.whole(first) + b"".join(map(kept.__getitem__, rest))
         except KeyError:
-            missing = list({p for p in parts if p not in kept})
-            found = dict(zip(missing, (np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
-            out = b"".join([kept[p] if p in kept else found[p] for p in parts])
-            for p, ids in found.items():
-                if len(kept) >= KEPT_PARTS:
-                    break
-                if len(p) <= KEPT_CHARS:
-                    kept[p] = ids
+            found = self.words(list({w for w in rest if w not in kept}))
+            out = b"".join([self.whole(first), *[kept[w] if w in kept else found[w] for w in rest]])
+            if len(kept) < KEPT_WORDS:
+                kept.update((w, ids) for w, ids in found.items() if len(w) <= KEPT_CHARS)
             return out
 
 
