@@ -2,8 +2,9 @@
 
 A document is its set of 5-word shingles. One hash of each shingle serves all bins: its top bits choose the bin, its
 value competes for the bin's minimum, and empty bins copy a bin that a universal hash of (bin, attempt) picks. Bands of
-bins make buckets; in a bucket, one document at its center is linked with the others (a star), so that links grow with
-documents and not with pairs. Links are confirmed on the full sets.
+bins make buckets; in a bucket, one document at its center is first linked with the others (a star), so that most links
+grow with documents and not with pairs. What the stars leave is tested pair by pair: whoever is not in a bucket's largest
+component meets all members of other components there. Links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BIN_BITS = (BANDS * BAND_ROWS).bit_length() - 1
 PERCENT = 75
 #: Rounds of stars; each takes a new center among the documents that the last left outside its center's component.
 ROUNDS = 3
+#: Members of a bucket that one task pairs with those outside its largest component.
+BLOCK = 256
 
 
 def shingle_set(text: bytes, words: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -127,6 +130,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", shared.alias("shared"), (F.size("of_a") + F.size("of_b")).alias("total")).filter(100 * F.col("shared") >= PERCENT * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
+def remaining_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs (a, b) that share a bucket and no root, and whose sizes allow a link.
+
+    Of two members with different roots one is outside the bucket's largest component; those meet all others, which are
+    dealt out in blocks.
+    """
+    placed = members.join(roots.select(F.col("v").alias("set_key"), "root"), "set_key").select("bucket", "set_key", "n", "root")
+    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("own"))
+    several = parts.groupBy("bucket").agg(F.max(F.struct("own", "root"))["root"].alias("largest"), F.sum("own").alias("all"), F.count("*").alias("parts"))
+    several = several.filter("parts > 1").select("bucket", "largest", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+    open_ones = placed.join(several, "bucket")
+    dealt = open_ones.select("bucket", F.expr("pmod(xxhash64(set_key), blocks)").cast("int").alias("block"), F.col("set_key").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"))
+    outside = open_ones.filter("root <> largest").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("set_key").alias("x"), "n", "root")
+    met = outside.join(dealt, ["bucket", "block"]).filter("root <> root_y").filter(100 * F.least("n", "n_y") >= PERCENT * F.greatest("n", "n_y"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``.
 
@@ -168,6 +188,11 @@ def near_duplicates(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         outside = placed.join(middle, "bucket").filter("root <> center_root")
         several = outside.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
         left = stored(outside.join(several, "bucket").select("bucket", "set_key", "n", "weight"), "left")
+    pairs = stored(remaining_pairs(members, roots).join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        links = stored(links.unionByName(confirmed(pairs, sets)), "confirmed")
+        free(spark)
+        roots = min_labels(vertices, links)
     rooted = classes.join(roots, classes.set_key == roots.v, "left").select("set_key", F.when(F.col("v").isNull(), F.col("first")).otherwise(F.col("root_rank")).alias("component"))
     named = signed.select("doc_id", "n_shingles", "set_key").join(rooted, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))

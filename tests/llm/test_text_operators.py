@@ -261,6 +261,21 @@ def test_near_duplicate_groups(spark):
     assert got == sorted(components(texts), key=repr)
 
 
+def test_near_duplicates_around_the_threshold(spark):
+    from arcloom.llm.minhash_dedup import near_duplicates
+
+    draw = random.Random(6)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for i in range(300):
+        copy = list(base)
+        for k in draw.sample(range(200), draw.randint(2, 6)):
+            copy[k] = f"e{i}.{k}"
+        texts.append((i, " ".join(copy)))
+    got = rows(near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(components(texts), key=repr)
+
+
 # 7
 
 
