@@ -1,13 +1,13 @@
 """Language-model scores from a log-frequency Bloom filter of quantised bigram counts.
 
-Word counts are exact. The words with the most counts (at most VOCABULARY, so their table has a fixed bound) get
-indexes; bigrams of such words are counted over all training documents. A bigram counted c times enters the filter
-once for each level 1 .. floor(log2 c), so that its count is read back by probing level after level until one is
-missing. The filter is cut into blocks, each built whole by one task; it holds 10 bits an entry up to MAX_BITS, beyond
-which the least counts that enter rise. All entries of a bigram lie in one block.
-
-p(w | h) = K c'(h, w) / c(h) + (1 - K S(h) / c(h)) p(w), with c' = 2^level <= c, S(h) the sum of c' over the bigrams of
-h in the filter, K = KEPT_SHARE, p(w) the add-half word probability, and p(w) alone after a word without index.
+Word counts and bigram counts are exact, over all training documents, words and bigrams told apart by 64-bit hashes. A
+bigram counted c times enters the filter once for each level 1 .. 1 + floor(log2 c), so that its count is read back by
+probing level after level until one is missing. The filter is cut into blocks of 10 bits an entry, as many as the
+entries need; all entries of a bigram lie in one block. A filter of at most MAX_BITS is broadcast; of a larger one each
+block is built where the bigrams that it holds are probed. Both give the same levels.
+
+p(w | h) = K c'(h, w) / c(h) + (1 - K S(h) / c(h)) p(w), with c' = 2^(level - 1) <= c, S(h) the sum of c' over the
+bigrams of h, K = KEPT_SHARE, p(w) the add-half word probability, and p(w) alone after a word that is not counted.
 """
 
 from __future__ import annotations
@@ -19,14 +19,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, free, mixed, stored
+from .common import WordHashes, drop_stored, free, mixed, stored
 
-#: Words with an index, the most that are broadcast.
-VOCABULARY = 1_000_000
-#: Bits of the filter at most, of a block, and for each entry; probes for each entry.
+#: Bits of a filter that is broadcast at most, of a block, and for each entry; probes for each entry.
 MAX_BITS, BLOCK_BITS, ENTRY_BITS, PROBES = 1 << 28, 1 << 16, 10, 4
-#: Bigrams with fewer counts never enter.
-LEAST_COUNT = 2
 #: The share of a bigram's count that it keeps; the rest goes to all words.
 KEPT_SHARE = 0.75
 #: Distinct words or bigrams gathered in a task before they are handed on.
@@ -34,29 +30,6 @@ GATHERED = 400_000
 END = b""
 
 
-class Vocabulary(dict):
-    """Indexes of the words with the most counts, -1 for others; keeps those of words it has met."""
-
-    KEPT = 600_000
-
-    def __init__(self, hashes: np.ndarray):
-        from xxhash import xxh3_64_intdigest
-
-        self.hash, self.sorted = xxh3_64_intdigest, np.argsort(hashes)
-        self.hashes = hashes[self.sorted]
-
-    def __missing__(self, word: bytes) -> int:
-        h = np.uint64(self.hash(word))
-        at = int(self.hashes.searchsorted(h))
-        index = int(self.sorted[at]) if at < len(self.hashes) and self.hashes[at] == h else -1
-        if len(self) < self.KEPT:
-            self[word] = index
-        return index
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-
-
 def probes(pairs: np.ndarray, level: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """Block of each pair, and its PROBES bits within the block for one level (rows are pairs)."""
     spread = mixed(pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
@@ -129,34 +102,59 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def bigram_counts(training: DataFrame, hashes) -> DataFrame:
-    """pair (index of the first word << 32 | index of the second) and count, over all training documents."""
+def _hashed(tokens: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each token's history, of the token, and of both."""
+    each = known.of(tokens)
+    before, word = each[:-1], each[1:]
+    return before, word, mixed(mixed(before + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def bigram_counts(rows: DataFrame) -> DataFrame:
+    """pair (hash of both words), h, w and the count n in the training documents of every bigram of all documents."""
     import pyarrow as pa
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(hashes.value)
-        held, size = [], 0
+        words = WordHashes()
+        for batch in _slices(batches):
+            tokens, ends = _stream(batch.column(1))
+            before, word, pair = _hashed(tokens, words)
+            learnt = np.repeat(~batch.column(0).to_numpy(zero_copy_only=False), np.diff(ends, prepend=0))
+            own, first, back = np.unique(pair, return_index=True, return_inverse=True)
+            n = np.bincount(back, weights=learnt, minlength=len(own)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(before[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array(n)], ["pair", "h", "w", "n"])
+
+    each = rows.select("held_out", "text").mapInArrow(count, "pair long, h long, w long, n long")
+    return each.groupBy("pair").agg(F.min("h").alias("h"), F.min("w").alias("w"), F.sum("n").alias("n"))
 
-        def handed() -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], ["pair", "n"])
 
+def row_bigrams(rows: DataFrame) -> DataFrame:
+    """row (a number), doc_id, held_out, n_tokens, pair and how many times, for the different bigrams of every row."""
+    import pyarrow as pa
+
+    kinds = "row long, doc_id long, held_out boolean, n_tokens long, pair long, times long"
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        words, row = WordHashes(), TaskContext.get().partitionId() << 40
         for batch in _slices(batches):
-            index = vocabulary.of(_stream(batch.column(0))[0])
-            known = (index[:-1] >= 0) & (index[1:] >= 0)
-            held.append((index[:-1] << 32 | index[1:])[known])
-            size += len(held[-1])
-            if size > 10 * GATHERED:
-                yield handed()
-                held, size = [], 0
-        if held:
-            yield handed()
+            tokens, ends = _stream(batch.column(2))
+            _, _, pair = _hashed(tokens, words)
+            n = np.diff(ends, prepend=0)
+            owner = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((pair, owner))
+            pair, owner = pair[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])]))
+            own = pa.array(owner[first])
+            columns = [pa.array(row + owner[first]), batch.column(0).take(own), batch.column(1).take(own), pa.array(n[owner[first]]), pa.array(pair[first].view(np.int64)), pa.array(np.diff(first, append=len(pair)))]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in kinds.split(", ")])
+            row += len(n)
 
-    return training.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return rows.select("doc_id", "held_out", "text").mapInArrow(each, kinds)
 
 
 def build_filter(counts: DataFrame, blocks: int) -> np.ndarray:
-    """The filter's bytes from (pair, level); tasks build whole blocks, and the driver gets MAX_BITS at most."""
+    """The filter's bytes from (pair, level); tasks build whole blocks, and the driver gets the whole of it."""
     import pyarrow as pa
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,106 +187,84 @@ def build_filter(counts: DataFrame, blocks: int) -> np.ndarray:
     return out.ravel()
 
 
-def _threshold(table: DataFrame, most: int, weight) -> int:
-    """The least n such that rows with n or more weigh ``most`` at most, from sums by the power of two of n, then by n."""
-    power = F.floor(F.log2("n")).cast("int")
-    by_power = sorted(table.groupBy(power.alias("p")).agg(F.sum(weight).alias("w")).collect(), reverse=True)
-    total = 0
-    for p, w in by_power:
-        if total + w > most:
-            # at most 2^p values of n lie here; those above 2^16 are looked at by their leading 16 bits
-            grain = max(1, 2**p >> 16)
-            inside = table.filter(power == p).groupBy((F.floor(F.col("n") / grain)).alias("g")).agg(F.sum(weight).alias("w"))
-            for g, x in sorted(inside.collect(), reverse=True):
-                if total + x > most:
-                    return (g + 1) * grain
-                total += x
-            return 2**p
-        total += w
-    return 0
-
-
-def lm_scores(docs: DataFrame, vocabulary: int = VOCABULARY, max_bits: int = MAX_BITS) -> DataFrame:
+def read_levels(pairs: DataFrame, blocks: int, broadcast: bool) -> DataFrame:
+    """pair, h, w and the level that the filter of all (pair, level) gives back; level 0 enters nothing."""
+    import pyarrow as pa
+
+    kinds = "pair long, h long, w long, level int"
+    if broadcast:
+        bloom = pairs.sparkSession.sparkContext.broadcast(build_filter(pairs.filter("level > 0").select("pair", "level"), blocks))
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = levels(batch.column(0).to_numpy(), bloom.value, blocks)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found.astype(np.int32))], ["pair", "h", "w", "level"])
+
+        return pairs.select("pair", "h", "w").mapInArrow(probe, kinds)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, _ = probes(batch.column(0).to_numpy(), 1, blocks)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], ["pair", "h", "w", "level", "block"])
+
+    def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            pair, top = table["pair"].to_numpy(), table["level"].to_numpy()
+            bits = np.zeros(BLOCK_BITS, dtype=bool)
+            for level in range(1, int(top.max(initial=0)) + 1):
+                bits[probes(pair[top >= level], level, 1)[1].ravel()] = True
+            found = levels(pair, np.packbits(bits, bitorder="little"), 1)  # a block alone is a filter of one block
+            return pa.RecordBatch.from_arrays([*(table[c].combine_chunks() for c in ("pair", "h", "w")), pa.array(found.astype(np.int32))], ["pair", "h", "w", "level"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            block = batch.column(4).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if held and held[-1].column(4)[0].as_py() != block[a]:
+                    yield read(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield read(held)
+
+    dealt = pairs.select("pair", "h", "w", "level").mapInArrow(named, kinds + ", block long").repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(whole_blocks, kinds)
+
+
+def lm_scores(docs: DataFrame, vocabulary: int | None = None, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
 
     Needs doc_id and text; other columns are ignored. Null and empty texts are one end token. A null id counts as the
     empty name. Repeated rows are scored, and learnt from, each for itself. Without training documents all counts are
-    0 and every token has the base probability 1. Words are told apart by 64-bit hashes.
+    0 and every token has the base probability 1. ``vocabulary`` is taken for older callers: all words are counted.
+    ``max_bits`` only decides whether the filter is broadcast.
     """
-    import pyarrow as pa
-
-    spark = docs.sparkSession
     rows = token_rows(docs)
-    training = rows.filter("NOT held_out")
-    words = stored(word_counts(training), "words")
+    spark = docs.sparkSession
+    words = stored(word_counts(rows.filter("NOT held_out")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = _threshold(words, vocabulary, F.lit(1))
-    named = words.filter(F.col("n") >= max(1, least)).select("word", "n").toArrow()  # ``vocabulary`` rows at most
-    order = np.lexsort((named["word"].to_numpy(), -named["n"].to_numpy()))
-    names, counted = named["word"].to_numpy()[order], named["n"].to_numpy()[order].astype(np.float64)
-    hashes = spark.sparkContext.broadcast(names.view(np.uint64))
+    mass = float(total + 0.5 * (distinct + 1))
+    level = F.when(F.col("n") > 0, F.floor(F.log2("n")) + 1).otherwise(0).cast("int")
+    pairs = stored(bigram_counts(rows).select("pair", "h", "w", level.alias("level")), "pairs")
     free(spark)
-    pairs = bigram_counts(training, hashes).filter(F.col("n") >= LEAST_COUNT)
-    pairs = stored(pairs.select("pair", "n", F.floor(F.log2("n")).cast("int").alias("level")), "pairs")
-    cut = max(LEAST_COUNT, _threshold(pairs, max_bits // ENTRY_BITS, F.col("level")))
-    entering = pairs.filter(F.col("n") >= cut)
-    entries = entering.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
-    blocks = max(1, min(max_bits, entries * ENTRY_BITS) // BLOCK_BITS)
-    bloom = spark.sparkContext.broadcast(build_filter(entering.select("pair", "level"), blocks))
-    inside = np.zeros(len(names), dtype=np.float64)
-    sums = entering.groupBy(F.shiftright("pair", 32).cast("int").alias("h")).agg(F.sum(F.pow(F.lit(2.0), F.col("level"))).alias("s")).toArrow()
-    inside[sums["h"].to_numpy()] = sums["s"].to_numpy()
-    model = spark.sparkContext.broadcast((counted, inside))
+    entries = pairs.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
+    blocks = max(1, -(-entries * ENTRY_BITS // BLOCK_BITS))
+    sums = pairs.filter("level > 0").groupBy(F.col("h").alias("word")).agg(F.sum(F.pow(F.lit(2.0), F.col("level") - 1)).alias("s"))
+    history = words.join(sums, "word", "left").select(F.col("word").alias("h"), F.col("n").alias("n_h"), "s")
+    levelled = stored(read_levels(pairs, blocks, blocks * BLOCK_BITS <= max_bits), "levels")
+    both = levelled.join(history, "h", "left").join(words.select(F.col("word").alias("w"), F.col("n").alias("n_w")), "w", "left")
+    p_word = (F.coalesce("n_w", F.lit(0)) + 0.5) / F.lit(mass)
+    kept = F.when(F.col("level") > 0, KEPT_SHARE * F.pow(F.lit(2.0), F.col("level") - 1) / F.col("n_h")).otherwise(0.0)
+    p = F.when(F.col("n_h").isNull(), p_word).otherwise(kept + (1 - KEPT_SHARE * F.coalesce("s", F.lit(0.0)) / F.col("n_h")) * p_word)
+    model = stored(both.select("pair", F.log10(p).alias("log_p"), F.log10(p_word).alias("base"), F.col("n_w").isNotNull().cast("long").alias("known")), "model")
     drop_stored(pairs)
+    drop_stored(levelled)
     free(spark)
-    mass = total + 0.5 * (distinct + 1)
-    kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:bigint,n:int>>"
-    rare_kind = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int32())]))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        from xxhash import xxh3_64_intdigest as hashed
-
-        index_of, (counts, seen), filter_bytes = Vocabulary(hashes.value), model.value, bloom.value
-        row = TaskContext.get().partitionId() << 40
-        unknown = 0.5 / mass
-        p_word = np.append((counts + 0.5) / mass, unknown)  # the last is for words without an index
-        rest = np.append(1.0 - KEPT_SHARE * seen / np.maximum(counts, 1), 1.0)
-        for batch in _slices(batches):
-            tokens, ends = _stream(batch.column(2))
-            index = index_of.of(tokens)
-            before, word = index[:-1], index[1:]
-            p = p_word[word] * rest[before]
-            both = np.flatnonzero((before >= 0) & (word >= 0))
-            pairs, back = np.unique(before[both] << 32 | word[both], return_inverse=True)
-            level = levels(pairs, filter_bytes, blocks)[back]
-            hit = level > 0
-            p[both[hit]] += KEPT_SHARE * np.exp2(level[hit]) / counts[before[both[hit]]]
-            heads = np.concatenate([[0], ends[:-1]])
-            sums = lambda x: np.add.reduceat(x, heads)
-            base = np.where(word >= 0, np.log10(p_word[word]), 0.0)
-            rare: list[list] = [[] for _ in ends]
-            missing = np.flatnonzero(word < 0)
-            if len(missing):
-                owner = np.searchsorted(ends, missing + 1)
-                for (own, name), n in Counter(zip(owner.tolist(), (tokens[i + 1] for i in missing.tolist()), strict=True)).items():
-                    rare[own].append({"word": hashed(name) - (1 << 64) if hashed(name) >> 63 else hashed(name), "n": n})
-            n = np.diff(ends, prepend=0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row + np.arange(len(ends))), batch.column(0), batch.column(1), pa.array(n), pa.array(sums((word >= 0).astype(np.int64))), pa.array(sums(base)), pa.array(sums(np.log10(p))), pa.array(rare, rare_kind)],
-                [x.split()[0] for x in kinds.split(", ")],
-            )
-            row += len(ends)
-
-    scored = stored(rows.mapInArrow(score, kinds), "scored")
-    each = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
-    below = words.filter(F.col("n") < max(1, least))
-    count = F.coalesce("n", F.lit(0))
-    found = each.join(below, "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((count + 0.5) / F.lit(float(mass)))).alias("more"), F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("known")
+    scored = row_bigrams(rows).join(model, "pair").groupBy("row", "doc_id", "held_out", "n_tokens").agg(
+        F.sum(F.col("times") * F.col("known")).alias("n_known"), F.sum(F.col("times") * F.col("base")).alias("base_score"), F.sum(F.col("times") * F.col("log_p")).alias("score")
     )
-    out = scored.drop("rare").join(found, "row", "left")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
-    )
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

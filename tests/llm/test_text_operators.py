@@ -199,6 +199,36 @@ def test_lm_scores(spark, docs, empty):
     assert lm_scores(empty).collect() == []
 
 
+def test_lm_scores_take_every_bigram(spark):
+    from arcloom.llm.lm_score import lm_scores
+
+    draw = random.Random(5)
+    texts = [(i, " ".join(f"v{min(draw.randrange(60), draw.randrange(60))}" for _ in range(30))) for i in range(80)]
+    tokens = lambda t: [b""] + t.encode().split() + [b""]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    count, pairs = Counter(), Counter()
+    for i, t in texts:
+        if not held(i):
+            count.update(tokens(t)[1:])
+            pairs.update(zip(tokens(t)[:-1], tokens(t)[1:], strict=True))
+    mass, cut = sum(count.values()) + 0.5 * (len(count) + 1), {x: 2 ** int(math.log2(n)) for x, n in pairs.items()}
+    left = Counter()
+    for (h, _), n in cut.items():
+        left[h] += n
+
+    def p(h, w):
+        alone = (count[w] + 0.5) / mass
+        return 0.75 * cut.get((h, w), 0) / count[h] + (1 - 0.75 * left[h] / count[h]) * alone if count[h] else alone
+
+    want = {i: sum(math.log10(p(h, w)) for h, w in zip(tokens(t)[:-1], tokens(t)[1:], strict=True)) for i, t in texts}
+    out = []
+    for options in ({}, {"max_bits": 0}, {"vocabulary": 5}):  # broadcast, by blocks, and no word without bigrams
+        got = {r["doc_id"]: r["score"] for r in lm_scores(spark.createDataFrame(texts, "doc_id long, text string"), **options).collect()}
+        assert sum(abs(got[i] - want[i]) < 1e-6 for i in want if not held(i)) > 0.9 * sum(not held(i) for i in want)  # the filter errs upwards, seldom
+        out.append({i: round(x, 9) for i, x in got.items()})
+    assert out[0] == out[1] == out[2]
+
+
 def test_filter_gives_levels_back(spark):
     import numpy as np
 
