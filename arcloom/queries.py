@@ -184,6 +184,19 @@ def label_propagation_supply(spark, sf):
     return community.get_label_propagation_communities(V.supply(spark, sf), max_iterations=3)
 
 
+# the SQL of the two above unrolls few rounds; these run to the operators' own ends and have no SQL
+
+
+@query()
+def page_rank_full_supply(spark, sf):
+    return centrality.get_page_rank(V.supply(spark, sf)).select("id", F.round("score", 9).alias("score"))
+
+
+@query()
+def label_propagation_full_supply(spark, sf):
+    return community.get_label_propagation_communities(V.supply(spark, sf))
+
+
 @query(f"WITH e AS ({V.TRADE}), c AS (SELECT n_name AS id, n_regionkey AS c FROM nation), d AS (SELECT c, sum(k) AS d FROM (SELECT source_id AS id, count(*) AS k FROM e GROUP BY 1 UNION ALL SELECT target_id, count(*) FROM e GROUP BY 1) x JOIN c USING (id) GROUP BY c), l AS (SELECT a.c, count(*) AS l FROM e JOIN c a ON a.id = source_id JOIN c b ON b.id = target_id WHERE a.c = b.c GROUP BY a.c), m AS (SELECT 2.0 * count(*) AS m FROM e) SELECT round(sum((2 * coalesce(l, 0) - d * d / m) / m), 9) AS q FROM d LEFT JOIN l USING (c), m")
 def modularity_trade(spark, sf):
     regions = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_name").alias("id"), F.col("n_regionkey").alias("community"))

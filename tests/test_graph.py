@@ -378,3 +378,42 @@ def test_edge_cases_do_not_fail(spark):
 def test_tables(spark):
     t = spark.createDataFrame([("a", "b"), ("b", "c")], "source_id string, target_id string")
     assert sorted(ids(graph_from_tables(None, t).nodes)) == ["a", "b", "c"]
+
+
+SMALLEST = "/root/testdata/sf0.001"
+
+
+def around_supply(spark):
+    from arcloom import views
+
+    around = {}
+    for e in views.supply(spark, SMALLEST).edges.collect():
+        around.setdefault(e["source_id"], []).append(e["target_id"])
+        around.setdefault(e["target_id"], []).append(e["source_id"])
+    return around
+
+
+def test_page_rank_full_supply(spark):
+    from arcloom.queries import QUERIES
+
+    around = around_supply(spark)
+    score = dict.fromkeys(around, 1 / len(around))
+    for _ in range(500):
+        score = {v: 0.15 / len(around) + 0.85 * sum(score[u] / len(around[u]) for u in us) for v, us in around.items()}
+    got = {r["id"]: r["score"] for r in QUERIES["page_rank_full_supply"](spark, SMALLEST).collect()}
+    assert got.keys() == score.keys() and all(abs(got[v] - score[v]) < 1e-5 for v in score)
+
+
+def test_label_propagation_full_supply(spark):
+    from arcloom.queries import QUERIES
+
+    around = around_supply(spark)
+    label = {v: v for v in around}
+    for _ in range(50):
+        seen = {v: [label[u] for u in us] for v, us in around.items()}
+        fresh = {v: min(xs, key=lambda x: (-xs.count(x), x)) for v, xs in seen.items()}
+        if fresh == label:
+            break
+        label = fresh
+    got = {r["id"]: r["community"] for r in QUERIES["label_propagation_full_supply"](spark, SMALLEST).collect()}
+    assert got == label
