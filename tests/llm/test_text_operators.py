@@ -192,18 +192,21 @@ def test_lm_scores(spark, docs, empty):
     n, v = sum(count.values()), len(count)
     mass = n + 0.5 * (v + 1)
     want = sorted((repr(i), held(i), len(tokens(t)), sum(count[w] > 0 for w in tokens(t)), n, round(sum(math.log10((count[w] + 0.5) / mass) for w in tokens(t)), 6)) for i, t in TEXTS)
-    for words in (1_000_000, 50):  # with all words indexed, and with most of them counted by the join
-        out = lm_scores(docs, vocabulary=words).collect()
+    for common in (1 << 20, 5):  # with all words' counts broadcast, and with most of them joined
+        out = lm_scores(docs, common=common).collect()
         assert sorted((repr(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
         assert all(r["score"] <= 0 and math.isfinite(r["score"]) for r in out)
     assert lm_scores(empty).collect() == []
+    only_held = docs.filter("doc_id IN (7, 8, 14)")
+    assert {i for i, _ in TEXTS if i is not None and held(i)} & {7, 8, 14} and lm_scores(only_held).count() == 3
 
 
-def test_lm_scores_take_every_bigram(spark):
-    from arcloom.llm.lm_score import lm_scores
+def test_lm_scores_are_those_of_the_counts(spark, monkeypatch):
+    """All scores by plain counts; the filter errs seldom."""
+    from arcloom.llm import lm_score as S
 
     draw = random.Random(5)
-    texts = [(i, " ".join(f"v{min(draw.randrange(60), draw.randrange(60))}" for _ in range(30))) for i in range(80)]
+    texts = [(i, " ".join(f"v{min(draw.randrange(90), draw.randrange(90))}" for _ in range(30))) for i in range(80)] + [(200, "never seen before"), (201, " " * 300 + "v1 " * 200)]
     tokens = lambda t: [b""] + t.encode().split() + [b""]
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     count, pairs = Counter(), Counter()
@@ -211,36 +214,74 @@ def test_lm_scores_take_every_bigram(spark):
         if not held(i):
             count.update(tokens(t)[1:])
             pairs.update(zip(tokens(t)[:-1], tokens(t)[1:], strict=True))
-    mass, cut = sum(count.values()) + 0.5 * (len(count) + 1), {x: 2 ** int(math.log2(n)) for x, n in pairs.items()}
-    left = Counter()
-    for (h, _), n in cut.items():
-        left[h] += n
+    level = lambda n: n.bit_length()
+
+    def means(table):
+        by = {}
+        for n in table.values():
+            by.setdefault(level(n), []).append(n)
+        return {k: sum(v) / len(v) for k, v in by.items()} | {0: 0.0}
+
+    of_word, of_pair = means(count), means(pairs)
+    total, mass, once = sum(count.values()), sum(count.values()) + 0.5 * (len(count) + 1), sum(n == 1 for n in pairs.values())
+    rest = lambda t: sum(n * t / (of_word[level(n)] + t) for n in count.values())
+    low, high = 1e-6, 1e18
+    for _ in range(300):
+        low, high = ((low * high) ** 0.5, high) if rest((low * high) ** 0.5) < once else (low, (low * high) ** 0.5)
+    assert once and abs(rest(low) - once) < 1e-3 * total
 
     def p(h, w):
-        alone = (count[w] + 0.5) / mass
-        return 0.75 * cut.get((h, w), 0) / count[h] + (1 - 0.75 * left[h] / count[h]) * alone if count[h] else alone
-
+        ch, alone = of_word[level(count[h])], (of_word[level(count[w])] + 0.5) / mass
+        if not ch:
+            return alone
+        top = min(level(pairs[h, w]), level(count[h]), level(count[w]))
+        a = ch / (ch + low)
+        return a * min(of_pair.get(top, 0.0), ch) / ch + (1 - a) * alone
+
+    assert all(p(h, w) <= 1 for h in [*count, b"new"] for w in [*count, b"new"])
+    for h in count:  # the probabilities after a word come to about one
+        assert 0.5 < sum(p(h, w) for w in count) < 1.7
     want = {i: sum(math.log10(p(h, w)) for h, w in zip(tokens(t)[:-1], tokens(t)[1:], strict=True)) for i, t in texts}
+    table = spark.createDataFrame(texts, "doc_id long, text string")
     out = []
-    for options in ({}, {"max_bits": 0}, {"vocabulary": 5}):  # broadcast, by blocks, and no word without bigrams
-        got = {r["doc_id"]: r["score"] for r in lm_scores(spark.createDataFrame(texts, "doc_id long, text string"), **options).collect()}
-        assert sum(abs(got[i] - want[i]) < 1e-6 for i in want if not held(i)) > 0.9 * sum(not held(i) for i in want)  # the filter errs upwards, seldom
+    monkeypatch.setattr(S, "BLOCK_BYTES", 900)
+    for options in ({}, {"max_bits": 0}):  # by a broadcast filter, and by asking buckets
+        got = {r["doc_id"]: r["score"] for r in S.lm_scores(table, **options).collect()}
+        assert sum(abs(got[i] - want[i]) for i in want) < 0.02 * sum(len(tokens(t)) for _, t in texts)
         out.append({i: round(x, 9) for i, x in got.items()})
-    assert out[0] == out[1] == out[2]
+    assert out[0] == out[1]
+    got = {r["doc_id"]: r["score"] for r in S.lm_scores(table, entry_bits=100).collect()}  # with room, it hardly errs
+    assert sum(abs(got[i] - want[i]) < 1e-6 for i in want) > 0.95 * len(want)
 
 
-def test_filter_gives_levels_back(spark):
+def test_filter_gives_levels_back():
     import numpy as np
 
-    from arcloom.llm.lm_score import build_filter, levels
+    from arcloom.llm import lm_score as S
 
     rng = np.random.default_rng(3)
-    pairs = rng.integers(0, 1 << 50, 5000)
-    top = rng.integers(1, 9, 5000)
-    bits = build_filter(spark.createDataFrame([(int(p), int(t)) for p, t in zip(pairs, top, strict=True)], "pair long, level int"), 8)
-    found = levels(pairs, bits, 8)
-    assert (found >= top).all() and (found > top).mean() < 0.1
-    assert (levels(rng.integers(1 << 51, 1 << 52, 5000), bits, 8) > 0).mean() < 0.05
+    keys = np.unique(rng.integers(0, 1 << 64, 20_000, dtype=np.uint64))
+    counts = rng.integers(1, 300, len(keys))
+    buckets = 7
+    bloom = S.Bloom([S.built(keys[a:b], counts[a:b]) for _, a, b in S.by_bucket(keys, buckets)])
+    top = np.array([int(c).bit_length() for c in counts])
+    found = bloom.levels(keys)
+    assert (found >= top).all() and (found > top).mean() < 0.05
+    assert (bloom.levels(rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)) > 0).mean() < 0.05
+
+
+def test_tokens_of_long_texts(monkeypatch):
+    import pyarrow as pa
+
+    from arcloom.llm import lm_score as S
+
+    monkeypatch.setattr(S, "SLICE", 40)
+    texts = [b"a " * 100, b"", b"B" * 90 + b" c", b" " * 100, b"x", b"long words " + b"y" * 50 + b"\t\nz"]
+    per = [[] for _ in texts]
+    for tokens, starts, owners in S.token_slices(pa.array(texts)):
+        for a, b, i in zip(starts, [*starts[1:], len(tokens)], owners, strict=True):
+            per[i] += tokens[a:b]
+    assert per == [t.lower().split() + [b""] for t in texts]
 
 
 # 6
