@@ -3,8 +3,10 @@
 A document is its set of 5-word shingles. One hash of each shingle serves all bins: its top bits choose the bin, its
 value competes for the bin's minimum, and empty bins copy a bin that a universal hash of (bin, attempt) picks. Bands of
 bins make buckets; in a bucket, one document at its center is first linked with the others (a star), so that most links
-grow with documents and not with pairs. What the stars leave is tested pair by pair: whoever is not in a bucket's largest
-component meets all members of other components there. Links are confirmed on the full sets.
+grow with documents and not with pairs. Documents whose buckets still hold several components meet once more, by the
+rarest shingles of their sets, of which two linked sets must share one: whoever is not in the largest component of a
+shingle meets all members of the others there. So every pair that shares a bucket is in one component, tested, or proven
+not to be similar enough. Links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ BIN_BITS = (BANDS * BAND_ROWS).bit_length() - 1
 PERCENT = 75
 #: Rounds of stars; each takes a new center among the documents that the last left outside its center's component.
 ROUNDS = 3
-#: Members of a bucket that one task pairs with those outside its largest component.
+#: Members of a bucket that one task pairs with those outside its largest component, and partners that one copy of a
+#: set meets.
 BLOCK = 256
 
 
@@ -121,15 +124,35 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(build, "set_key binary, shingles array<long>").dropDuplicates(["set_key"])
 
 
+def with_sets(pairs: DataFrame, side: str, sets: DataFrame) -> DataFrame:
+    """``pairs`` with the set of one side as ``of_<side>``; a set with many partners is dealt out with blocks of them."""
+    blocks = pairs.groupBy(side).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = pairs.join(blocks, side).withColumn("block", F.pmod(F.xxhash64("a", "b"), "blocks").cast("int")).drop("blocks")
+    copies = sets.join(blocks, F.col("set_key") == F.col(side)).select(side, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("shingles").alias(f"of_{side}"))
+    return dealt.join(copies, [side, "block"]).drop("block")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("of_b"))
-    both = pairs.join(right, "b").join(left, "a")
+    both = with_sets(with_sets(pairs, "b", sets), "a", sets)
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return both.select("a", "b", shared.alias("shared"), (F.size("of_a") + F.size("of_b")).alias("total")).filter(100 * F.col("shared") >= PERCENT * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
+def prefixes(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """bucket, set_key and n: for each key, the shingles of which two linked sets share one at least.
+
+    All shingles have one order, from those in the fewest of these sets on. A linked set of n shingles shares PERCENT of
+    them, so one of its first n - PERCENT * n + 1 is shared, and is among the first of the other set too. Shingles
+    that no other set has come first and need no rows; a set with too many of them has no link at all.
+    """
+    rows = sets.join(keys, "set_key", "left_semi").select("set_key", F.size("shingles").alias("n"), F.explode("shingles").alias("bucket"))
+    often = rows.groupBy("bucket").agg(F.count("*").alias("times")).filter("times > 1")
+    own = rows.join(often, "bucket").groupBy("set_key", "n").agg(F.sort_array(F.collect_list(F.struct("times", "bucket"))).alias("shared"))
+    room = F.col("n") - F.ceil(F.col("n") * F.lit(PERCENT) / 100) + 1 - (F.col("n") - F.size("shared"))
+    return own.filter(room > 0).select("set_key", "n", F.explode(F.transform(F.slice("shared", F.lit(1), room.cast("int")), lambda x: x["bucket"])).alias("bucket"))
+
+
 def remaining_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
     """All pairs (a, b) that share a bucket and no root, and whose sizes allow a link.
 
@@ -188,7 +211,12 @@ def near_duplicates(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         outside = placed.join(middle, "bucket").filter("root <> center_root")
         several = outside.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
         left = stored(outside.join(several, "bucket").select("bucket", "set_key", "n", "weight"), "left")
-    pairs = stored(remaining_pairs(members, roots).join(tried, ["a", "b"], "left_anti"), "pairs")
+    # what the stars leave: sets in buckets of several components meet again by the shingles that links must share
+    placed = members.select("bucket", "set_key").join(roots.select(F.col("v").alias("set_key"), "root"), "set_key")
+    several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+    unsettled = stored(placed.join(several, "bucket", "left_semi").select("set_key").distinct(), "unsettled")
+    first = stored(prefixes(unsettled, sets), "prefixes")
+    pairs = stored(remaining_pairs(first, roots).join(tried, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         links = stored(links.unionByName(confirmed(pairs, sets)), "confirmed")
         free(spark)
