@@ -32,9 +32,9 @@ MAX_BITS, ENTRY_BITS, LEVELS = 1 << 30, 10, 64
 #: Words whose exact counts are broadcast (16 bytes each), from the commonest on; the counts of all others are joined.
 COMMON_WORDS = 1 << 20
 #: Tokens whose bigrams a task brings together before it hands them on; a bucket's share of all tokens.
-GATHERED, BUCKET_TOKENS = 1 << 21, 1 << 21
+GATHERED, BUCKET_TOKENS = 1 << 20, 1 << 19
 #: Bytes of text that are cut into tokens at a time, and different words that a task keeps numbered.
-SLICE, KEPT = 1 << 20, 400_000
+SLICE, KEPT = 1 << 20, 250_000
 #: Bytes of text in a block that asks buckets for levels.
 BLOCK_BYTES = 1 << 24
 END = b""

@@ -24,14 +24,15 @@ WORD_NOISE = 1.0
 BROADCAST_LANGUAGES = 1_000
 SYMBOLS = r"[#*$%&|<>]"
 #: Character classes and the expressions that count them; white space and the rest follow from the length.
-CLASSES = {"n_upper": r"\p{Lu}", "n_letter": r"\p{L}", "n_digit": r"\p{Nd}", "n_point": r"[.,;:!?'\"()-]"}
+#: Letters are most of a text, so what is not a letter is counted.
+CLASSES = {"n_upper": r"\p{Lu}", "n_other": r"\P{L}", "n_digit": r"\p{Nd}", "n_point": r"[.,;:!?'\"()-]"}
 
 
 def repeated_words(words: Column) -> Column:
     """Words that lie in a 3-word window found twice or more in the array."""
 
     def covered(w: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        windows = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), F.lit(1), F.size(w) - 2)
 
         def of(hashes: Column) -> Column:
             placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
@@ -74,8 +75,9 @@ def document_counts(docs: DataFrame, listed: DataFrame) -> DataFrame:
 def char_counts() -> Column:
     """Counts of the character classes in one order: upper, other letter, digit, point, symbol, space, rest."""
     space = F.col("n_chars") - F.col("word_chars")
-    rest = F.col("word_chars") - F.col("n_letter") - F.col("n_digit") - F.col("n_point") - F.col("n_symbols")
-    return F.array(F.col("n_upper"), F.col("n_letter") - F.col("n_upper"), F.col("n_digit"), F.col("n_point"), F.col("n_symbols"), space, F.greatest(rest, F.lit(0)))
+    letters = F.col("n_chars") - F.col("n_other")
+    rest = F.col("word_chars") - letters - F.col("n_digit") - F.col("n_point") - F.col("n_symbols")
+    return F.array(F.col("n_upper"), letters - F.col("n_upper"), F.col("n_digit"), F.col("n_point"), F.col("n_symbols"), space, F.greatest(rest, F.lit(0)))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -127,9 +129,11 @@ def by_language(table: DataFrame, name: str) -> DataFrame:
 
 def word_histogram(words: Column, listed: Column) -> Column:
     """How often each listed word occurs, and last how many other words there are."""
+    longest = F.coalesce(F.array_max(F.transform(listed, F.length)), F.lit(0))
 
     def of(x: Column) -> Column:
-        known = F.filter(x["words"], lambda w: F.array_contains(x["listed"], F.lower(w)))
+        # lower case has no fewer characters, so longer words are not looked for
+        known = F.filter(x["words"], lambda w: (F.length(w) <= x["longest"]) & F.array_contains(x["listed"], F.lower(w)))
 
         def counted(k: Column) -> Column:
             each = F.transform(x["listed"], lambda name: (F.size(k) - F.size(F.array_remove(k, name))).cast("long"))
@@ -137,7 +141,13 @@ def word_histogram(words: Column, listed: Column) -> Column:
 
         return F.get(F.transform(F.array(F.transform(known, F.lower)), counted), F.lit(0))
 
-    return F.get(F.transform(F.array(F.struct(words.alias("words"), listed.alias("listed"))), of), F.lit(0))
+    return F.get(F.transform(F.array(F.struct(words.alias("words"), listed.alias("listed"), longest.alias("longest"))), of), F.lit(0))
+
+
+def quality_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> DataFrame:
+    """One row for each language of ``docs`` (which should be clean): its commonest words and its two histograms."""
+    lists = stored(common_word_lists(docs, common_words), "lists")
+    return lists.join(language_references(document_counts(docs, by_language(lists, "lists"))), "lang")
 
 
 def quality_rules(
@@ -147,21 +157,27 @@ def quality_rules(
     max_char_distance: float = MAX_CHAR_DISTANCE,
     max_word_distance: float = MAX_WORD_DISTANCE,
     word_noise: float = WORD_NOISE,
+    references: DataFrame | None = None,
 ) -> DataFrame:
     """Counts, both distances and the verdict of every document.
 
+    ``references`` (lang, ref_words, ref_chars, ref_counts, as quality_references() gives them) are the histograms to
+    compare with; without them each language's own sums over all of ``docs`` serve, so that what most of a language's
+    documents have in common passes. Documents of a language that given references lack have distances 0.
     ``docs`` needs doc_id, text and lang; other columns are ignored. Null text is no words, null lang is a language of
     its own. One row for each input row, repeated rows included. A document with fewer than ``min_words`` words has
     distances null and fails the base rules; an empty table gives an empty result.
     """
-    counts = stored(document_counts(docs, by_language(common_word_lists(docs, common_words), "lists")), "counts")
-    base = counts.join(by_language(language_references(counts), "references"), "lang", "left")
+    lists = common_word_lists(docs, common_words) if references is None else references.select("lang", "ref_words")
+    counts = stored(document_counts(docs, by_language(lists, "lists")), "counts")
+    known = language_references(counts) if references is None else references.select("lang", "ref_chars", "ref_counts")
+    base = counts.join(by_language(known, "references"), "lang", "left")
     enough = F.col("n_words") >= min_words
     judged = base.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
-        F.when(enough, F.round(js_distance(char_counts(), F.col("ref_chars")), 9)).alias("char_distance"),
-        F.when(enough, F.round(js_distance(F.col("word_counts"), F.col("ref_counts")), 9)).alias("word_distance"),
+        F.when(enough, F.round(F.coalesce(js_distance(char_counts(), F.col("ref_chars")), F.lit(0.0)), 9)).alias("char_distance"),
+        F.when(enough, F.round(F.coalesce(js_distance(F.col("word_counts"), F.col("ref_counts")), F.lit(0.0)), 9)).alias("word_distance"),
     )
     passes = (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance) & (
         F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance + word_noise / F.sqrt(F.greatest("n_words", F.lit(1)))

@@ -460,7 +460,7 @@ def base_counts(text):
 
 
 def test_quality_rules(spark, docs, empty):
-    from arcloom.llm.quality_rules import quality_rules
+    from arcloom.llm.quality_rules import quality_references, quality_rules
 
     got = rows(quality_rules(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert got == sorted(((i, *base_counts(t)) for i, t in TEXTS), key=repr)
@@ -469,6 +469,13 @@ def test_quality_rules(spark, docs, empty):
     junk = [(100, " ".join(f"{random.choice(WORDS)}#$%&" for _ in range(200)), "en"), (101, "\n".join(f"{random.random()} | {random.random()} |" for _ in range(80)), "en")]
     verdict = {r["doc_id"]: r["kept"] for r in quality_rules(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")).collect()}
     assert all(verdict[i] for i in range(40)) and not verdict[100] and not verdict[101]
+    # a corpus of nothing but junk passes against itself, and not against references from clean documents
+    junk = [(i, " ".join(f"{random.choice(WORDS)}#$%&" for _ in range(200)), "en") for i in range(20)] + [(99, prose(200), "xx")]
+    junk = spark.createDataFrame(junk, "doc_id long, text string, lang string")
+    own = {r["doc_id"]: r["kept"] for r in quality_rules(junk).collect()}
+    given = quality_references(spark.createDataFrame(clean, "doc_id long, text string, lang string"))
+    judged = {r["doc_id"]: r["kept"] for r in quality_rules(junk, references=given).collect()}
+    assert all(own.values()) and judged == {i: i == 99 for i in own}
 
 
 # pipeline
