@@ -4,8 +4,9 @@ Every string of WINDOW bytes that starts anywhere else too is cut out of every t
 sorted: in each window, the leftmost least hash of its q-grams is its anchor, and equal windows have equal anchors at
 equal offsets. An anchor hash is a suffix's first bucket; buckets with one member are dropped. The others are refined
 by their order on the bucket identifiers of later offsets (8, 16, 32 ... bytes on), and refined identifiers serve the
-next step, until a bucket is a string of WINDOW bytes. A bucket too large for one task is split by the window's offset
-to its anchor at once, down to buckets of equal windows, which only have to be counted.
+next step, until a bucket is a string of WINDOW bytes. A bucket too large for one task is refined across tasks first: its
+windows fall into two halves by their offset to the anchor, the bytes that all windows of a half have around the anchor
+refine the bucket, and equal contexts become one. Halves of halves end at single windows, which only have to be counted.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .common import drop_stored, free, mixed, stored
 WINDOW, GRAM = 200, 32
 #: A text is looked at in pieces of so many window starts.
 PIECE = 1 << 20
-#: Anchors with more members are refined by counting equal windows instead of in one task.
-LARGE = 512
+#: Buckets with more members are refined across tasks before they are refined in one.
+LARGE = 4096
 #: Bytes of contexts that one refinement sorts.
 BATCH_BYTES = 1 << 20
 #: Exact copies above this number are represented by two of them.
@@ -55,12 +56,13 @@ def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return mixed((sums[size:] - sums[:-size]) * _power("down", _INVERSE, n - size + 1))
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window start and number of consecutive window starts, for each run of windows of one anchor."""
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each run of windows of one anchor: its hash, the first window's start, the number of consecutive window
+    starts, and how far from the first window's start the anchor lies."""
     grams = window_hashes(data, GRAM)
     width = WINDOW - GRAM + 1
     if len(grams) < width:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.uint64), *(np.empty(0, dtype=np.int64) for _ in range(3))
     # place in the low bits: among equal hashes the leftmost is the least
     least = (grams & ~np.uint64((1 << 24) - 1)) | np.arange(len(grams), dtype=np.uint64)
     span = 1
@@ -71,7 +73,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least = np.minimum(least[: len(grams) - width + 1], least[width - span :])
     place = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
     first = np.flatnonzero(np.diff(place, prepend=-1))
-    return grams[place[first]], first, np.diff(first, append=len(place))
+    return grams[place[first]], first, np.diff(first, append=len(place)), place[first] - first
 
 
 def refine(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -160,12 +162,12 @@ def anchor_rows(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 for at, data in _pieces(_bytes_of(text)):
-                    anchor, first, n = anchors(data)
+                    anchor, first, n, gram = anchors(data)
                     if len(anchor):
                         names = [pa.array(np.full(len(anchor), k, dtype=np.int64)) for k in (k1, k2)]
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), *names, pa.array(first + at), pa.array(n.astype(np.int32))], ["anchor", "k1", "k2", "first", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), *names, pa.array(first + at), pa.array(n.astype(np.int32)), pa.array(gram.astype(np.int32))], ["anchor", "k1", "k2", "first", "n", "gram"])
 
-    return rows.select("k1", "k2", "text").mapInArrow(joined_batches(find), "anchor long, k1 long, k2 long, first long, n int")
+    return rows.select("k1", "k2", "text").mapInArrow(joined_batches(find), "anchor long, k1 long, k2 long, first long, n int, gram int")
 
 
 def joined_batches(f):
@@ -184,6 +186,62 @@ def joined_batches(f):
     return wrapped
 
 
+def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each context as up to two, for the windows of the lower and the upper half of its interval of offsets.
+
+    A window's offset is how far the anchor lies from its start. All windows with offsets in [x, y) have in common what
+    is x bytes before the anchor and WINDOW - (y - 1) bytes after its start; those bytes refine the key.
+    """
+    from struct import pack
+
+    from xxhash import xxh3_64_intdigest
+
+    for batch in batches:
+        out: list[list] = [[] for _ in range(9)]
+        for k1, k2, key, x, y, first, gram, open_, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            middle, least = (x + y) // 2, gram - (len(context) - WINDOW)
+            for a, b in ((x, middle), (middle, y)):
+                low, high = max(a, least), min(b - 1, gram)
+                if low <= high:
+                    core = xxh3_64_intdigest(pack("<qii", key, a, b) + context[gram - a : gram + WINDOW - b + 1])
+                    own = (k1, k2, core - (1 << 64) if core >> 63 else core, a, b, first + gram - high, high, open_, context[gram - high : gram - low + WINDOW])
+                    for o, v in zip(out, own, strict=True):
+                        o.append(v)
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], [c.split()[0] for c in LEVEL.split(", ")])
+
+
+LEVEL = "k1 long, k2 long, key long, x int, y int, first long, gram int, open boolean, context binary"
+
+
+def by_halves(large: DataFrame) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """Refines buckets of more than LARGE members across tasks: spans that are repeated as wholes (k1, k2, from, to),
+    members of buckets that are small enough now, and the tables that both are read from.
+
+    Equal contexts of a bucket become one, and their owners get all of it; of what is left, large buckets are halved.
+    """
+    names = [c.split()[0] for c in LEVEL.split(", ")]
+    level = large.withColumns({"x": F.lit(0), "y": F.lit(WINDOW - GRAM + 1), "open": F.lit(True)}).select(names)
+    whole, refined, kept = [], [], []
+    if large.isEmpty():
+        return whole, refined, kept
+    while True:
+        marked = level.withColumns({"c1": F.xxhash64("context"), "c2": F.xxhash64(F.lit(7), "context")})
+        same = stored(marked.groupBy("key", "c1", "c2").agg(F.count("*").alias("owners"), F.min(F.struct(*[n for n in names if n != "key"])).alias("r")), "same")
+        several = same.filter("owners > 1").select("key", "c1", "c2")
+        given = marked.filter("open").join(several, ["key", "c1", "c2"], "left_semi")
+        whole.append(given.select("k1", "k2", F.col("first").alias("from"), (F.col("first") + F.length("context")).alias("to")))
+        members = same.withColumn("o", F.col("owners") == 1).select("key", "r.*", "o").withColumn("open", F.col("open") & F.col("o")).select(names)
+        sizes = stored(members.groupBy("key").count().filter("count > 1"), "sizes")
+        refined.append(members.join(sizes.filter(F.col("count") <= LARGE), "key", "left_semi"))
+        kept += [same, sizes]
+        crowded = sizes.filter(F.col("count") > LARGE)
+        if crowded.isEmpty():
+            return whole, refined, kept
+        level = stored(members.join(crowded, "key", "left_semi").select(names).mapInArrow(halves, LEVEL), "level")
+        kept.append(level)
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """k1, k2 and spans (sorted array of from, to) of the bytes to cut from each text that has any."""
     spark = docs.sparkSession
@@ -191,7 +249,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     chosen = represented(rows)
     found = stored(anchor_rows(chosen), "anchors")
     shared = found.groupBy("anchor").agg(F.count("*").alias("members")).filter("members > 1")
-    wanted = found.join(shared, "anchor").select("k1", "k2", F.struct("anchor", "first", "n", (F.col("members") > LARGE).alias("large")).alias("w"))
+    wanted = found.join(shared, "anchor").select("k1", "k2", F.struct("anchor", "first", "n", "gram", (F.col("members") > LARGE).alias("large")).alias("w"))
     wanted = stored(wanted.groupBy("k1", "k2").agg(F.collect_set("w").alias("wanted")), "wanted")
     drop_stored(found)
     free(spark)
@@ -199,7 +257,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             flat = batch.column(3).flatten()
-            keys, firsts, ns, larges = flat.flatten()
+            keys, firsts, ns, grams, larges = flat.flatten()
             ends = (firsts.to_numpy() + ns.to_numpy() + (WINDOW - 1)).tolist()
             counts = np.diff(batch.column(3).offsets.to_numpy())
             pieces, starts, at = [], firsts.to_pylist(), 0
@@ -208,31 +266,32 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 pieces += [data[a:b] for a, b in zip(starts[at : at + n], ends[at : at + n], strict=True)]
                 at += n
             owners = [pa.array(np.repeat(batch.column(i).to_numpy(), counts)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*owners, keys, firsts, larges, pa.array(pieces, pa.binary())], ["k1", "k2", "anchor", "first", "large", "context"])
+            yield pa.RecordBatch.from_arrays([*owners, keys, firsts, grams, larges, pa.array(pieces, pa.binary())], ["k1", "k2", "key", "first", "gram", "large", "context"])
 
     contexts = chosen.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted")
-    contexts = stored(contexts.mapInArrow(cut, "k1 long, k2 long, anchor long, first long, large boolean, context binary"), "contexts")
+    contexts = stored(contexts.mapInArrow(cut, "k1 long, k2 long, key long, first long, gram int, large boolean, context binary"), "contexts")
 
     kinds = "k1 long, k2 long, from long, to long"
     names = [x.split()[0] for x in kinds.split(", ")]
 
     def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of their anchors. Equal contexts of a bucket are repeated as wholes; where a bucket has
-        several different contexts, one of each is refined, many buckets together."""
+        """Rows come in order of their keys. Equal contexts of a bucket are repeated as wholes; where a bucket has
+        several different contexts, one of each is refined, many buckets together. Owners that are not open have been
+        given all of their context."""
         out: list[list] = [[], [], [], []]
         waiting: list[tuple[bytes, list[tuple]]] = []
         bucket: dict[bytes, list[tuple]] = {}
         anchor, size = None, 0
 
         def put(owners: list[tuple], firsts: list[int], ends: list[int]) -> None:
-            for k1, k2, first in owners:
+            for k1, k2, first, _ in owners:
                 for a, b in zip(firsts, ends, strict=True):
                     out[0].append(k1), out[1].append(k2), out[2].append(first + a), out[3].append(first + b - 1 + WINDOW)
 
         def close() -> int:
             for context, owners in bucket.items():
                 if len(owners) > 1:
-                    put(owners, [0], [len(context) - WINDOW + 1])
+                    put([o for o in owners if o[3]], [0], [len(context) - WINDOW + 1])
             several = [(c, o) for c, o in bucket.items()] if len(bucket) > 1 else []
             waiting.extend(several)
             bucket.clear()
@@ -240,7 +299,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
         def sort() -> None:
             for (_, owners), flags in zip(waiting, repeated_starts([c for c, _ in waiting]), strict=True):
-                if len(owners) == 1 and flags.any():
+                if len(owners) == 1 and owners[0][3] and flags.any():
                     put(owners, *(x.tolist() for x in runs(flags)))
             waiting.clear()
 
@@ -251,41 +310,32 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             return made
 
         for batch in batches:
-            for k1, k2, key, first, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k1, k2, key, first, open_, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != anchor:
                     size += close()
                     anchor = key
                     if size >= BATCH_BYTES:
                         sort()
                         size = 0
-                bucket.setdefault(context, []).append((k1, k2, first))
+                bucket.setdefault(context, []).append((k1, k2, first, open_))
             yield handed()
         close()
         if waiting:
             sort()
         yield handed()
 
-    small = contexts.filter("NOT large").select("k1", "k2", "anchor", "first", "context")
+    columns = ["k1", "k2", "key", "first", "open", "context"]
+    small = contexts.filter("NOT large").withColumn("open", F.lit(True)).select(columns)
+    whole, refined, kept = by_halves(contexts.filter("large"))
+    for more in refined:
+        small = small.unionByName(more.select(columns))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    in_tasks = small.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(sort_buckets, kinds)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            data, starts, counts = window_starts(batch.column(3).to_pylist())
-            at = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(batch.column(2).to_numpy(), counts)
-            one = window_hashes(data, WINDOW)[starts]
-            two = window_hashes(data[::-1], WINDOW)[::-1][starts]  # read from the other end: a second, independent hash
-            owners = [pa.array(np.repeat(batch.column(i).to_numpy(), counts)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*owners, pa.array(at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["k1", "k2", "at", "h1", "h2"])
-
-    crowded = contexts.filter("large").select("k1", "k2", "first", "context").mapInArrow(windows, "k1 long, k2 long, at long, h1 long, h2 long")
-    crowded = stored(crowded, "windows")
-    equal = crowded.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").select("h1", "h2")
-    counted = crowded.join(equal, ["h1", "h2"]).select("k1", "k2", F.col("at").alias("from"), (F.col("at") + WINDOW).alias("to"))
-    both = in_tasks.unionByName(counted)
+    both = small.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sort_buckets, kinds)
+    for more in whole:
+        both = both.unionByName(more)
     spans = both.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))
     spans = stored(spans, "spans")
-    for used in (contexts, crowded, wanted):
+    for used in (contexts, wanted, *kept):
         drop_stored(used)
     free(spark)
     return spans

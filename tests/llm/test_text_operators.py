@@ -372,13 +372,27 @@ def test_suffix_digest(spark, docs, empty, monkeypatch):
 
     assert rows(S.suffix_digest(docs), *COLUMNS) == cut(TEXTS)
     assert S.suffix_digest(empty).collect() == []
-    monkeypatch.setattr(S, "LARGE", 1)  # every bucket by counting windows
-    assert rows(S.suffix_digest(docs), *COLUMNS) == cut(TEXTS)
     monkeypatch.setattr(S, "COPIES", 1)  # copies represented by two
-    monkeypatch.setattr(S, "LARGE", 512)
     assert rows(S.suffix_digest(docs), *COLUMNS) == cut(TEXTS)
 
 
+@pytest.mark.parametrize("large", [1, 3])
+def test_suffix_digest_of_large_buckets(spark, docs, monkeypatch, large):
+    """Buckets refined across tasks, down to single windows: a passage with and without edits among other words."""
+    from arcloom.llm import suffix_dedup as S
+
+    draw = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(70))
+    texts = list(TEXTS)
+    for i in range(12):
+        copy = passage.split()
+        for k in draw.sample(range(70), draw.randint(0, 2)):
+            copy[k] = f"e{draw.randrange(3)}"
+        texts.append((100 + i, prose(draw.randint(0, 15)) + " " + " ".join(copy) + " " + prose(draw.randint(0, 15))))
+    monkeypatch.setattr(S, "LARGE", large)
+    assert rows(S.suffix_digest(spark.createDataFrame(texts, "doc_id long, text string")), *COLUMNS) == cut(texts)
+
+
 def test_refine():
     import numpy as np
 
