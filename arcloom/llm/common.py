@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import drop_stored, free, shared_dir, stored
 
-__all__ = ["SPACES", "WordHashes", "drop_stored", "free", "mixed", "shared_dir", "stored", "words_col"]
+__all__ = ["SPACES", "WordHashes", "drop_stored", "free", "fresh_names", "mixed", "shared_dir", "stored", "words_col"]
 
 #: The ASCII white space that separates words: space and \x09-\x0D.
 SPACES = " \t\n\x0b\f\r"
@@ -17,6 +18,16 @@ def words_col(text) -> "F.Column":
     return F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, in any case of letters: the given ones, with underscores before them if need be."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 class WordHashes(dict):
     """64-bit hashes of words, the same on every machine; keeps those of frequent words."""
 

@@ -140,33 +140,38 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def prefixes(keys: DataFrame, sets: DataFrame) -> DataFrame:
-    """bucket, set_key and n: for each key, the shingles of which two linked sets share one at least.
+    """bucket, set_key, n and at: for each key, the shingles of which two linked sets share one at least, and their places.
 
-    All shingles have one order, from those in the fewest of these sets on. A linked set of n shingles shares PERCENT of
-    them, so one of its first n - PERCENT * n + 1 is shared, and is among the first of the other set too. Shingles
-    that no other set has come first and need no rows; a set with too many of them has no link at all.
+    All shingles have one order, from those in the fewest of these sets on. Linked sets of n and m shingles share s =
+    PERCENT / (100 + PERCENT) of n + m at least, so the first that they share has a place (from 0) of n - s at most in
+    the one and of m - s in the other; s is PERCENT of n at least. Shingles that no other set has come first and need no
+    rows; a set with too many of them has no link at all.
     """
     rows = sets.join(keys, "set_key", "left_semi").select("set_key", F.size("shingles").alias("n"), F.explode("shingles").alias("bucket"))
     often = rows.groupBy("bucket").agg(F.count("*").alias("times")).filter("times > 1")
     own = rows.join(often, "bucket").groupBy("set_key", "n").agg(F.sort_array(F.collect_list(F.struct("times", "bucket"))).alias("shared"))
-    room = F.col("n") - F.ceil(F.col("n") * F.lit(PERCENT) / 100) + 1 - (F.col("n") - F.size("shared"))
-    return own.filter(room > 0).select("set_key", "n", F.explode(F.transform(F.slice("shared", F.lit(1), room.cast("int")), lambda x: x["bucket"])).alias("bucket"))
+    alone = F.col("n") - F.size("shared")
+    room = F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100") + 1 - alone
+    first = F.transform(F.slice("shared", F.lit(1), room.cast("int")), lambda x, i: F.struct(x["bucket"].alias("bucket"), (alone + i).alias("at")))
+    return own.filter(room > 0).select("set_key", "n", F.explode(first).alias("x")).select("x.bucket", "set_key", "n", "x.at")
 
 
 def remaining_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs (a, b) that share a bucket and no root, and whose sizes allow a link.
+    """All pairs (a, b) with different roots that share one of their prefixes() as linked sets do.
 
-    Of two members with different roots one is outside the bucket's largest component; those meet all others, which are
-    dealt out in blocks.
+    Of two members of a bucket with different roots one is outside the bucket's largest component; those meet all
+    others, which are dealt out in blocks.
     """
-    placed = members.join(roots.select(F.col("v").alias("set_key"), "root"), "set_key").select("bucket", "set_key", "n", "root")
+    placed = members.join(roots.select(F.col("v").alias("set_key"), "root"), "set_key").select("bucket", "set_key", "n", "at", "root")
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("own"))
     several = parts.groupBy("bucket").agg(F.max(F.struct("own", "root"))["root"].alias("largest"), F.sum("own").alias("all"), F.count("*").alias("parts"))
     several = several.filter("parts > 1").select("bucket", "largest", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
     open_ones = placed.join(several, "bucket")
-    dealt = open_ones.select("bucket", F.expr("pmod(xxhash64(set_key), blocks)").cast("int").alias("block"), F.col("set_key").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"))
-    outside = open_ones.filter("root <> largest").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("set_key").alias("x"), "n", "root")
-    met = outside.join(dealt, ["bucket", "block"]).filter("root <> root_y").filter(100 * F.least("n", "n_y") >= PERCENT * F.greatest("n", "n_y"))
+    dealt = open_ones.select("bucket", F.expr("pmod(xxhash64(set_key), blocks)").cast("int").alias("block"), F.col("set_key").alias("y"), F.col("n").alias("n_y"), F.col("at").alias("at_y"), F.col("root").alias("root_y"))
+    outside = open_ones.filter("root <> largest").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("set_key").alias("x"), "n", "at", "root")
+    shared = f"(({PERCENT} * (n + n_y) + {99 + PERCENT}) div {100 + PERCENT})"
+    near = F.expr(f"root <> root_y AND 100 * least(n, n_y) >= {PERCENT} * greatest(n, n_y) AND at <= n - {shared} AND at_y <= n_y - {shared}")
+    met = outside.join(dealt, ["bucket", "block"]).filter(near)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

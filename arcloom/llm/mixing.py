@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored, words_col
+from .common import drop_stored, fresh_names, stored, words_col
 
 #: Default targets: shares in proportion to a margin's tokens to this power, so that small sources gain on large ones.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 #: Rounds over all margins at most, and the largest difference of a share from its target at which raking ends.
-ROUNDS, TOLERANCE = 20, 1e-6
+ROUNDS, TOLERANCE = 200, 1e-6
 #: The share of all tokens that is drawn.
 RATE = 0.8
 #: Up to so many cells (some dozen bytes each) are broadcast.
@@ -36,46 +36,60 @@ def topic_of(text: Column) -> Column:
     return F.get(F.transform(F.array(F.struct(text.alias("text"), F.size(words_col(text)).alias("n"))), kind), F.lit(0))
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, the three margins' values (null is a value of its own, '') and n_tokens (words and an end) of each row."""
+def margins(docs: DataFrame) -> dict[str, Column]:
+    """What the three margins of a document are; null is a value of its own, ''. A topic column is taken where there is one."""
     text = F.coalesce("text", F.lit(""))
-    value = lambda name: F.coalesce(F.col(name), F.lit("")).alias(name)
-    return docs.select("doc_id", value("source"), value("lang"), topic_of(text).alias("topic"), (F.size(words_col(text)) + 1).cast("long").alias("n_tokens"))
+    topic = F.coalesce(F.col("topic").cast("string"), F.lit("")) if "topic" in docs.columns else topic_of(text)
+    return {"source": F.coalesce(F.col("source"), F.lit("")), "lang": F.coalesce(F.col("lang"), F.lit("")), "topic": topic}
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """doc_id, the three margins' values and n_tokens (words and an end) of each row."""
+    n_tokens = (F.size(words_col(F.coalesce("text", F.lit("")))) + 1).cast("long")
+    return docs.select("doc_id", *(c.alias(m) for m, c in margins(docs).items()), n_tokens.alias("n_tokens"))
 
 
-def targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
-    """The target share of each value of a margin."""
-    sums = cells.groupBy(margin).agg(F.sum("tokens").alias("t")).select(margin, F.pow("t", F.lit(power)).alias("part"))
-    whole = sums.agg(F.sum("part")).first()[0] or 1.0
-    return sums.select(margin, (F.col("part") / F.lit(float(whole))).alias("target"))
+def targets(cells: DataFrame, margin: str, power: float, shares: dict[str, float] | None = None) -> DataFrame:
+    """The target share of each value of a margin: as given, in proportion to ``shares`` over the values that there
+    are, or else in proportion to the value's tokens to a power. Values that given shares lack have none."""
+    sums = cells.groupBy(margin).agg(F.sum("tokens").alias("t"))
+    if shares is None:
+        parts = sums.select(margin, F.pow("t", F.lit(power)).alias("part"))
+    else:
+        given = cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in shares.items()], f"{margin} string, part double")
+        parts = sums.join(F.broadcast(given), margin, "left").select(margin, F.coalesce("part", F.lit(0.0)).alias("part"))
+    whole = parts.agg(F.sum("part")).first()[0] or 1.0
+    return parts.select(margin, (F.col("part") / F.lit(float(whole))).alias("target"))
 
 
-def raked(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The cells with ``weight``: shares of all tokens whose margins fit the targets."""
+def raked(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS, tolerance: float = TOLERANCE, shares: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """The cells with ``weight``: shares of all tokens whose margins fit the targets.
+
+    Raking ends when every margin is within ``tolerance`` of its targets. Targets that no weights meet (a source with a
+    share whose languages have none) leave it unfitted after ``rounds``: that raises an error, with the margin's name.
+    """
     total = cells.agg(F.sum("tokens")).first()[0] or 1
-    wanted = {m: stored(targets(cells, m, p), f"target-{m}") for m, p in powers.items()}
+    wanted = {m: stored(targets(cells, m, p, (shares or {}).get(m)), f"target-{m}") for m, p in powers.items()}
     fitted = stored(cells.withColumn("weight", F.col("tokens") / F.lit(float(total))), "raked")
     for _ in range(rounds):
         step = fitted
         for margin, goal in wanted.items():
-            now = step.groupBy(margin).agg(F.sum("weight").alias("now")).join(goal, margin).select(margin, (F.col("target") / F.col("now")).alias("factor"))
+            now = step.groupBy(margin).agg(F.sum("weight").alias("now")).join(goal, margin).select(margin, F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(F.lit(0.0)).alias("factor"))
             step = step.join(now, margin).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
         step = stored(step.select(*cells.columns, "weight"), "raked")
         drop_stored(fitted)
         fitted = step
-        # the last margin fits exactly; raking ends when the first fits too
-        first = next(iter(wanted))
-        off = fitted.groupBy(first).agg(F.sum("weight").alias("now")).join(wanted[first], first).agg(F.max(F.abs(F.col("now") - F.col("target")))).first()[0]
-        if off is None or off <= tolerance:
-            break
-    return fitted
+        off = {m: fitted.groupBy(m).agg(F.sum("weight").alias("now")).join(goal, m).agg(F.max(F.abs(F.col("now") - F.col("target")))).first()[0] or 0.0 for m, goal in wanted.items()}
+        if max(off.values()) <= tolerance:
+            return fitted
+    raise ValueError(f"raking did not reach the targets of {max(off, key=off.get)} in {rounds} rounds: a share is off by {max(off.values()):.3g}")
 
 
-def cell_probabilities(described_docs: DataFrame, powers: dict[str, float] = POWERS, rate: float = RATE) -> DataFrame:
+def cell_probabilities(described_docs: DataFrame, powers: dict[str, float] = POWERS, rate: float = RATE, shares: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """source, lang, topic, weight (token weight against an unmixed token) and probability of each cell."""
-    margins = list(powers)
-    cells = stored(described_docs.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    fitted = raked(cells, powers)
+    names = list(powers)
+    cells = stored(described_docs.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    fitted = raked(cells, powers, shares=shares)
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     ratio = F.col("weight") * F.lit(float(total)) / F.col("tokens")
     scale = rate
@@ -84,7 +98,7 @@ def cell_probabilities(described_docs: DataFrame, powers: dict[str, float] = POW
         if not drawn or abs(drawn / total - rate) <= 1e-4:
             break
         scale *= rate * total / drawn
-    return stored(fitted.select(*margins, ratio.alias("weight"), F.least(F.lit(1.0), ratio * F.lit(scale)).alias("probability")), "probabilities")
+    return stored(fitted.select(*names, ratio.alias("weight"), F.least(F.lit(1.0), ratio * F.lit(scale)).alias("probability")), "probabilities")
 
 
 def drawn(doc_id: Column, probability: Column, seed: str = SEED) -> Column:
@@ -97,19 +111,22 @@ def _joined(rows: DataFrame, cells: DataFrame, margins: list[str]) -> DataFrame:
     return rows.join(F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells, margins)
 
 
-def mixing_table(docs: DataFrame, powers: dict[str, float] = POWERS, rate: float = RATE) -> DataFrame:
+def mixing_table(docs: DataFrame, powers: dict[str, float] = POWERS, rate: float = RATE, shares: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability and kept of every row of ``docs``.
 
-    Needs doc_id, text, lang and source; other columns are ignored. Null source or lang is the value ''. Rows of one
+    Needs doc_id, text, lang and source, and takes topic where it is; other columns are ignored. ``shares`` holds target
+    weights by margin and value, {"lang": {"en": 3, "de": 1}}; a margin without them has powers of its own sums. Null source or lang is the value ''. Rows of one
     id are drawn together. An empty table gives no rows.
     """
     each = stored(described(docs), "described")
-    cells = cell_probabilities(each, powers, rate)
+    cells = cell_probabilities(each, powers, rate, shares)
     return _joined(each, cells, list(powers)).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), drawn(F.col("doc_id"), F.col("probability")).alias("kept"))
 
 
-def mixed_documents(docs: DataFrame, powers: dict[str, float] = POWERS, rate: float = RATE) -> DataFrame:
+def mixed_documents(docs: DataFrame, powers: dict[str, float] = POWERS, rate: float = RATE, shares: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """The rows of ``docs`` that are drawn, with their columns as they are."""
-    cells = cell_probabilities(described(docs), powers, rate).withColumnsRenamed({m: f"_{m}" for m in powers})
-    keyed = docs.withColumns({"_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit("")), "_topic": topic_of(F.coalesce("text", F.lit("")))})
-    return _joined(keyed, cells, [f"_{m}" for m in powers]).filter(drawn(F.col("doc_id"), F.col("probability"))).select(*docs.columns)
+    names = dict(zip([*powers, "probability"], fresh_names(docs, *(f"_{m}" for m in powers), "_probability"), strict=True))
+    cells = cell_probabilities(described(docs), powers, rate, shares).select(*(F.col(c).alias(n) for c, n in names.items()))
+    values = margins(docs)
+    keyed = docs.withColumns({names[m]: values[m] for m in powers})
+    return _joined(keyed, cells, [names[m] for m in powers]).filter(drawn(F.col("doc_id"), F.col(names["probability"]))).select(*docs.columns)

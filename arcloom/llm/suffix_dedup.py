@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, free, mixed, stored
+from .common import drop_stored, free, fresh_names, mixed, stored
 
 #: Bytes of a repeated string, and of the q-grams that anchors are chosen by.
 WINDOW, GRAM = 200, 32
@@ -132,10 +132,17 @@ def _bytes_of(value) -> bytes:
     return buffer.to_pybytes() if buffer is not None else b""
 
 
-def _slices(batches, rows: int = 1024):
+def _slices(batches, column: int, limit: int = 1 << 22):
+    """Record batches of about ``limit`` bytes of a column at most, or of one row."""
+    import pyarrow.compute as pc
+
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")) - at)
+            yield batch.slice(at, n)
+            at += n
 
 
 def text_rows(docs: DataFrame) -> DataFrame:
@@ -158,16 +165,20 @@ def represented(rows: DataFrame) -> DataFrame:
 
 
 def anchor_rows(rows: DataFrame) -> DataFrame:
+    """One row for each anchor of a piece of a text: where it has its first run of windows, and how many runs."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 for at, data in _pieces(_bytes_of(text)):
                     anchor, first, n, gram = anchors(data)
                     if len(anchor):
+                        anchor, own, runs = np.unique(anchor, return_index=True, return_counts=True)
                         names = [pa.array(np.full(len(anchor), k, dtype=np.int64)) for k in (k1, k2)]
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), *names, pa.array(first + at), pa.array(n.astype(np.int32)), pa.array(gram.astype(np.int32))], ["anchor", "k1", "k2", "first", "n", "gram"])
+                        counts = [pa.array(x.astype(np.int32)) for x in (n[own], gram[own], runs)]
+                        yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), *names, pa.array(first[own] + at), *counts], ["anchor", "k1", "k2", "first", "n", "gram", "runs"])
 
-    return rows.select("k1", "k2", "text").mapInArrow(joined_batches(find), "anchor long, k1 long, k2 long, first long, n int, gram int")
+    return rows.select("k1", "k2", "text").mapInArrow(joined_batches(find), "anchor long, k1 long, k2 long, first long, n int, gram int, runs int")
 
 
 def joined_batches(f):
@@ -186,6 +197,51 @@ def joined_batches(f):
     return wrapped
 
 
+CONTEXTS = "k1 long, k2 long, key long, first long, gram int, large boolean, open boolean, context binary, to long"
+
+
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The context of each wanted run of windows, and spans (first, to) that are repeated within a slice of the texts.
+
+    Equal contexts of one anchor in a slice become one row whose owner is not open any more: all owners have their spans.
+    """
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.int64())
+    for rows in _slices(batches, 2):
+        out: list[list] = [[] for _ in types]
+
+        def put(*row, out=out) -> None:
+            for o, v in zip(out, row, strict=True):
+                o.append(v)
+
+        names = list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
+        held: dict[tuple[int, bytes], list[tuple]] = {}
+        for i, (text, wanted) in enumerate(zip(rows.column(2), rows.column(3).to_pylist(), strict=True)):
+            data = _bytes_of(text)
+            large = {w["anchor"]: w["large"] for w in wanted}
+            if len(large) < len(wanted) or any(w["runs"] > 1 for w in wanted):
+                runs = []
+                for at, piece in _pieces(data):
+                    found = anchors(piece)
+                    runs += [(k, f + at, n, g) for k, f, n, g in zip(found[0].view(np.int64).tolist(), *(x.tolist() for x in found[1:]), strict=True) if k in large]
+            else:
+                runs = [(w["anchor"], w["first"], w["n"], w["gram"]) for w in wanted]
+            for key, first, n, gram in runs:
+                held.setdefault((key, data[first : first + n + WINDOW - 1]), []).append((i, first, gram, large[key]))
+        repeated: dict[int, list[tuple[int, int]]] = {}
+        for (key, context), owners in held.items():
+            i, first, gram, many = owners[0]
+            put(*names[i], key, first, gram, many, len(owners) == 1, context, None)
+            if len(owners) > 1:
+                for i, first, _, _ in owners:
+                    repeated.setdefault(i, []).append((first, first + len(context)))
+        for i, spans in repeated.items():
+            spans.sort()
+            starts, ends = np.array(spans, dtype=np.int64).T
+            for a, b in zip(*(x.tolist() for x in merged_spans(starts, ends)), strict=True):
+                put(*names[i], None, a, None, None, None, None, b)
+        yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], [c.split()[0] for c in CONTEXTS.split(", ")])
+
+
 def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each context as up to two, for the windows of the lower and the upper half of its interval of offsets.
 
@@ -221,7 +277,7 @@ def by_halves(large: DataFrame) -> tuple[list[DataFrame], list[DataFrame], list[
     Equal contexts of a bucket become one, and their owners get all of it; of what is left, large buckets are halved.
     """
     names = [c.split()[0] for c in LEVEL.split(", ")]
-    level = large.withColumns({"x": F.lit(0), "y": F.lit(WINDOW - GRAM + 1), "open": F.lit(True)}).select(names)
+    level = large.withColumns({"x": F.lit(0), "y": F.lit(WINDOW - GRAM + 1)}).select(names)
     whole, refined, kept = [], [], []
     if large.isEmpty():
         return whole, refined, kept
@@ -248,28 +304,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = text_rows(docs)
     chosen = represented(rows)
     found = stored(anchor_rows(chosen), "anchors")
-    shared = found.groupBy("anchor").agg(F.count("*").alias("members")).filter("members > 1")
-    wanted = found.join(shared, "anchor").select("k1", "k2", F.struct("anchor", "first", "n", "gram", (F.col("members") > LARGE).alias("large")).alias("w"))
+    shared = found.groupBy("anchor").agg(F.sum("runs").alias("members")).filter("members > 1")
+    wanted = found.join(shared, "anchor").select("k1", "k2", F.struct("anchor", "first", "n", "gram", "runs", (F.col("members") > LARGE).alias("large")).alias("w"))
     wanted = stored(wanted.groupBy("k1", "k2").agg(F.collect_set("w").alias("wanted")), "wanted")
     drop_stored(found)
     free(spark)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            flat = batch.column(3).flatten()
-            keys, firsts, ns, grams, larges = flat.flatten()
-            ends = (firsts.to_numpy() + ns.to_numpy() + (WINDOW - 1)).tolist()
-            counts = np.diff(batch.column(3).offsets.to_numpy())
-            pieces, starts, at = [], firsts.to_pylist(), 0
-            for text, n in zip(batch.column(2), counts.tolist(), strict=True):
-                data = _bytes_of(text)
-                pieces += [data[a:b] for a, b in zip(starts[at : at + n], ends[at : at + n], strict=True)]
-                at += n
-            owners = [pa.array(np.repeat(batch.column(i).to_numpy(), counts)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*owners, keys, firsts, grams, larges, pa.array(pieces, pa.binary())], ["k1", "k2", "key", "first", "gram", "large", "context"])
-
     contexts = chosen.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted")
-    contexts = stored(contexts.mapInArrow(cut, "k1 long, k2 long, key long, first long, gram int, large boolean, context binary"), "contexts")
+    contexts = stored(contexts.mapInArrow(cut, CONTEXTS), "contexts")
 
     kinds = "k1 long, k2 long, from long, to long"
     names = [x.split()[0] for x in kinds.split(", ")]
@@ -325,8 +367,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         yield handed()
 
     columns = ["k1", "k2", "key", "first", "open", "context"]
-    small = contexts.filter("NOT large").withColumn("open", F.lit(True)).select(columns)
+    small = contexts.filter("NOT large").select(columns)
     whole, refined, kept = by_halves(contexts.filter("large"))
+    whole.append(contexts.filter("to IS NOT NULL").select("k1", "k2", F.col("first").alias("from"), "to"))
     for more in refined:
         small = small.unionByName(more.select(columns))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -387,16 +430,17 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
     Null texts stay null; all rows and all other columns are kept as they are.
     """
-    spans = repeated_spans(docs).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "spans": "_spans"})
+    k1, k2, own = fresh_names(docs, "_k1", "_k2", "_spans")
+    spans = repeated_spans(docs).withColumnsRenamed({"k1": k1, "k2": k2, "spans": own})
     binary = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keyed = docs.withColumns({"_k1": F.xxhash64(binary), "_k2": F.xxhash64(F.lit(7), binary)})
+    keyed = docs.withColumns({k1: F.xxhash64(binary), k2: F.xxhash64(F.lit(7), binary)})
 
     @F.arrow_udf("string")
     def kept(texts: pa.Array, spans: pa.Array) -> pa.Array:  # the texts that lose something
         return pa.array([_cut(_bytes_of(t), s)[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], pa.string())
 
-    joined = keyed.join(spans, ["_k1", "_k2"], "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept(F.coalesce("text", F.lit("")), F.coalesce("_spans", F.expr("cast(array() as array<struct<from:bigint,to:bigint>>)"))))
+    joined = keyed.join(spans, [k1, k2], "left")
+    text = F.when(F.col(own).isNull(), F.col("text")).otherwise(kept(F.coalesce("text", F.lit("")), F.coalesce(own, F.expr("cast(array() as array<struct<from:bigint,to:bigint>>)"))))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

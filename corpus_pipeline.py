@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import stored
+from arcloom.llm.common import fresh_names, stored
 from arcloom.llm.minhash_dedup import near_duplicates
 from arcloom.llm.mixing import mixed_documents
 from arcloom.llm.piece_codec import piece_encode
@@ -18,16 +18,36 @@ from arcloom.llm.queries import vocabulary
 from arcloom.llm.suffix_dedup import suffix_dedup
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, and that column's name.
+
+    A stage reads its Parquet input twice, and the same rows have the same numbers both times; so null and repeated ids
+    are told apart.
+    """
+    row = fresh_names(docs, "_row")[0]
+    return docs.withColumn(row, F.monotonically_increasing_id()), row
+
+
+def rows_in(docs: DataFrame, row: str, kept: DataFrame) -> DataFrame:
+    """The rows whose number is in the one column of ``kept``, without the number."""
+    return docs.join(kept.toDF(row), row, "left_semi").drop(row)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. Rows of one id go only if all are rejected; null ids are never kept."""
-    kept = quality_rules(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    """Rows that the quality rules reject go, each by its own text; null and repeated ids make no difference."""
+    rows, row = numbered(docs)
+    judged = quality_rules(rows.select(F.col(row).alias("doc_id"), "text", "lang"))
+    return rows_in(rows, row, judged.filter("kept").select("doc_id"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; rows of that id that are repeated become one."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near duplicates stays: the one with the smallest id, null ids last. Rows without words
+    are in no group and all stay; rows of one id with different texts are different documents."""
+    rows, row = numbered(docs)
+    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), F.col("component_id").alias("group"))
+    named = groups.join(rows.select(row, F.col("doc_id").cast("long").alias("name")), row)
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("name").isNull().alias("none"), "name", F.col(row).alias("row")))["row"].alias("row"))
+    return rows_in(rows, row, first.select("row"))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
