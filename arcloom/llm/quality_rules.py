@@ -28,44 +28,47 @@ SYMBOLS = r"[#*$%&|<>]"
 CLASSES = {"n_upper": r"\p{Lu}", "n_other": r"\P{L}", "n_digit": r"\p{Nd}", "n_point": r"[.,;:!?'\"()-]"}
 
 
-def repeated_words(words: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more in the array."""
+def windows_of(words: Column) -> Column:
+    """A hash of each 3-word window of an array of words, in order."""
+    each = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    return F.slice(each, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
 
-    def covered(w: Column) -> Column:
-        windows = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), F.lit(1), F.size(w) - 2)
 
-        def of(hashes: Column) -> Column:
-            placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+def repeated_words(hashes: Column) -> Column:
+    """Words that lie in a 3-word window found twice or more, from the windows' hashes."""
 
-            def again(s: Column) -> Column:
-                same = F.filter(s, lambda x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])) | ((i < F.size(s) - 1) & (F.get(s, i + 1)["h"] == x["h"])))
-                places = F.sort_array(F.transform(same, lambda x: x["p"]))
-                start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
-                step = lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last"))
-                return F.aggregate(places, start, step, lambda a: a["n"])
+    def of(hashes: Column) -> Column:
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
 
-            repeats = F.get(F.transform(F.array(placed), again), F.lit(0))
-            return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(repeats)
+        def again(s: Column) -> Column:
+            same = F.filter(s, lambda x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])) | ((i < F.size(s) - 1) & (F.get(s, i + 1)["h"] == x["h"])))
+            places = F.sort_array(F.transform(same, lambda x: x["p"]))
+            start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
+            step = lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last"))
+            return F.aggregate(places, start, step, lambda a: a["n"])
 
-        return F.when(F.size(w) < 3, F.lit(0)).otherwise(F.get(F.transform(F.array(windows), of), F.lit(0)))
+        return F.get(F.transform(F.array(placed), again), F.lit(0))
 
-    return F.get(F.transform(F.array(words), covered), F.lit(0)).cast("long")
+    repeats = F.get(F.transform(F.array(hashes), of), F.lit(0))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(repeats).cast("long")
 
 
 def document_counts(docs: DataFrame, listed: DataFrame) -> DataFrame:
     """Every count of every document in one pass over its text; ``listed`` has the common words of each lang."""
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("lang"), text.alias("text"), words_col(text).alias("words"))
+    # words and windows are columns of their own, so that what is not a lambda runs as generated code on them
+    split = split.withColumn("windows", windows_of(F.col("words")))
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     dup_lines = F.get(F.transform(F.array(lines), lambda a: F.size(a) - F.size(F.array_distinct(a))), F.lit(0))
     common = F.coalesce(F.col("ref_words"), F.expr("cast(array() as array<string>)"))
     return split.join(listed, "lang", "left").select(
         "doc_id", "lang",
         F.size("words").cast("long").alias("n_words"),
-        (F.length("text") - F.regexp_count("text", F.lit(r"[ \t-\r]"))).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         dup_lines.cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
+        repeated_words(F.col("windows")).alias("n_repeat_words"),
         F.length("text").cast("long").alias("n_chars"),
         *[F.regexp_count("text", F.lit(rule)).cast("long").alias(name) for name, rule in CLASSES.items()],
         word_histogram(F.col("words"), common).alias("word_counts"),
