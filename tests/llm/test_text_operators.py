@@ -139,17 +139,63 @@ def test_html_blocks():
         assert len(shared_lines(a, b)) == best[-1][-1]
 
 
-def test_extract_text(spark):
+def test_html_departures():
+    """Quotes in unquoted values, formulas, an article's own header, a form around the page, names that only begin like a frame's."""
+    from arcloom.llm.html_extract import blocks
+
+    assert blocks('<article><p>see <a href=foo">text</a> <b title="a > b">x</b></p></article>')[0] == ["see text x"]
+    assert blocks("<article><p>so <math><mi>x</mi><mo>=</mo>1</math> holds</p></article>")[0] == ["so x=1 holds"]
+    assert blocks("<header><p>Site</p></header><article><header><h1>T</h1><p>by A</p></header><p>x</p></article>") == (["T", "by A", "x"], [], True)
+    assert blocks("<form id=aspnet><nav>m</nav><article><p>x</p><form><p>y</p></form></article><p>z</p></form><p>w</p>") == (["x"], ["w"], True)
+    assert blocks('<article><div class="search-tips">tips</div><div class="site-search">s</div><div class="comments-area">c</div><div class="cookie-notice-box">n</div></article>')[0] == ["tips"]
+    assert blocks('<article class="post has-comments"><p>x</p></article><article class="related"><p>y</p></article>')[0] == ["x"]
+    assert blocks("<p>" + "a " * 200_000 + "<b")[1] == [" ".join("a" * 1 for _ in range(200_000))]
+
+
+PLAIN = "<body><div>Menu</div><p>{}</p><div>Imprint</div></body>"
+
+
+def extracted(df):
     from arcloom.llm.html_extract import extract_text
 
-    plain = "<body><div>Menu</div><p>{}</p><div>Imprint</div></body>"
-    table = [(1, "http://h/a/1", PAGE), (2, "http://k/x/1", plain.format("first")), (3, "http://k/x/2", plain.format("second")), (4, None, None), (5, "http://lone/", "<p>alone</p>"), (3, "http://k/x/2", plain.format("second"))]
-    got = Counter((r["page_id"], r["text"], r["n_chars"]) for r in extract_text(spark.createDataFrame(table, "page_id long, url string, html string").withColumn("lines", F.lit(1)).coalesce(1)).collect())
+    return Counter((r["page_id"], r["text"], r["n_chars"]) for r in extract_text(df).collect())
+
+
+def test_extract_text(spark):
+    table = [
+        (1, "http://h/a/1", PAGE), (2, "http://k/x/1", PLAIN.format("first")), (3, "http://k/x/2", PLAIN.format("second")), (4, None, None), (5, "http://lone/", "<p>alone</p>"),
+        (3, "http://k/x/2", PLAIN.format("second")), (6, "http://twins/1", PLAIN.format("same")), (7, "http://twins/2", PLAIN.format("same")), (None, "http://k/x/9", PLAIN.format("third")),
+    ]
     text = "Title & more\nOne two three\na\nb\nq <b>"
-    assert got[1, text, len(text)] == 1
-    assert got[2, "first", 5] == 1 and got[4, "", 0] == 1 and got[5, "alone", 5] == 1
-    assert sum(n for (i, _, _), n in got.items() if i == 3) == 2  # repeated pages are each other's nearest
-    assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+    want = Counter({(1, text, len(text)): 1, (2, "first", 5): 1, (3, "second", 6): 2, (4, "", 0): 1, (5, "alone", 5): 1, (None, "third", 5): 1})
+    want.update({(6, "Menu\nsame\nImprint", 17): 1, (7, "Menu\nsame\nImprint", 17): 1})  # copies do not tell what is template
+    df = spark.createDataFrame(table, "page_id long, url string, html string").withColumn("lines", F.lit(1))
+    assert extracted(df) == want
+    assert extracted(df.limit(0)) == Counter()
+
+
+@pytest.mark.parametrize("edges", [1000, 20])
+def test_extract_text_by_brute_force(spark, monkeypatch, edges):
+    """Every page's text from its neighbors in one sorted list, however the pages are dealt out."""
+    from arcloom.llm import html_extract as H
+
+    draw = random.Random(3)
+    table = []
+    for i in range(60):
+        lines = [draw.choice(["Menu", "Home", "Login"]), f"text {i}", draw.choice(["x", "y", f"more {i}"]), "Imprint"]
+        body = "".join(f"<p>{x}</p>" for x in lines)
+        table.append((i, f"https://h{draw.randrange(3)}.org/{draw.choice('ab')}/{draw.randrange(30)}?q={i}", f"<article>{body}</article><p>Imprint</p>" if i % 9 == 4 else body))
+    placed = sorted(((*H.host_and_path(u), i, u, *H.blocks(h)) for i, u, h in table), key=lambda r: r[:4])
+    placed = [r for r in placed if not r[6] or r[5]]
+    want = {i: "\n".join(H.blocks(h)[0]) for i, _, h in table if H.blocks(h)[2]}
+    as_row = lambda r: {"host": r[0], "path": r[1], "lines": r[5]}
+    for k, r in enumerate(placed):
+        if not r[6]:
+            want[r[2]] = "\n".join(H.own_lines(as_row(r), as_row(placed[k - 1]) if k else None, as_row(placed[k + 1]) if k + 1 < len(placed) else None))
+    assert any("Imprint" not in t for t in want.values())
+    monkeypatch.setattr(H, "EDGES", edges)
+    df = spark.createDataFrame(table, "page_id long, url string, html string").repartition(5)
+    assert extracted(df) == Counter((i, t, len(t)) for i, t in want.items())
 
 
 # 4
