@@ -207,21 +207,54 @@ def test_mixing(spark, docs, empty):
     table = mixing_table(docs).collect()
     assert len(table) == len(TEXTS)
     assert all(0 <= r["probability"] <= 1 for r in table)
-    each = described(docs)
-    cells = cell_probabilities(each).join(each.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("t")), ["source", "lang", "topic"]).collect()
-    total = sum(c["t"] for c in cells)
-    for margin, power in (("source", 0.5), ("lang", 0.7), ("topic", 0.7)):
-        have, plain = Counter(), Counter()
-        for c in cells:
-            have[c[margin]] += c["weight"] * c["t"] / total
-            plain[c[margin]] += c["t"]
-        parts = {k: v**power for k, v in plain.items()}
-        for k, v in parts.items():
-            assert abs(have[k] - v / sum(parts.values())) < 0.02  # the shares that raking reaches in its rounds
     kept = Counter(r["doc_id"] for r in mixed_documents(docs).collect())
     assert kept == Counter(r["doc_id"] for r in table if r["kept"])
     assert mixed_documents(docs).columns == docs.columns
     assert mixing_table(empty).collect() == []
+    clash = docs.withColumns({"_source": F.lit(1), "probability": F.lit("p"), "weight": F.lit(2.0), "_lang": F.lit("x"), "_Probability": F.lit(0)})
+    assert Counter(r["doc_id"] for r in mixed_documents(clash).collect()) == kept and mixed_documents(clash).columns == clash.columns
+
+
+def raked_by_hand(cells, goals, rounds=300):
+    """Iterative proportional fitting of (values) -> tokens, in plain loops."""
+    total = sum(cells.values())
+    weight = {c: t / total for c, t in cells.items()}
+    for _ in range(rounds):
+        for k, goal in enumerate(goals):
+            now = Counter()
+            for c, w in weight.items():
+                now[c[k]] += w
+            weight = {c: w * goal[c[k]] / now[c[k]] if now[c[k]] else 0.0 for c, w in weight.items()}
+    return weight
+
+
+def test_raking_by_brute_force(spark):
+    from arcloom.llm.mixing import mixing_table
+
+    draw = random.Random(9)
+    table = [(i, prose(draw.randint(3, 30)), draw.choice("de"), draw.choice("abc"), draw.choice(["t1", "t2"])) for i in range(120)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, topic string")
+    cells, plain = Counter(), [Counter() for _ in range(3)]
+    for _, text, lang, source, topic in table:
+        n = len(text.split()) + 1
+        cells[source, lang, topic] += n
+        for c, v in zip(plain, (source, lang, topic), strict=True):
+            c[v] += n
+    goals = []
+    for k, power in enumerate((0.5, 0.7, 0.7)):
+        parts = {v: n**power for v, n in plain[k].items()} if k != 1 else {"d": 3.0, "e": 1.0}
+        goals.append({v: x / sum(parts.values()) for v, x in parts.items()})
+    want = raked_by_hand(cells, goals)
+    out = mixing_table(df, shares={"lang": {"d": 3, "e": 1}}).collect()
+    total = sum(cells.values())
+    for r in out:
+        c = (r["source"], r["lang"], r["topic"])
+        assert abs(r["weight"] - want[c] * total / cells[c]) < 1e-4
+    drawn = sum(r["n_tokens"] * r["probability"] for r in out)
+    assert abs(drawn / total - 0.8) < 1e-3 and len({(r["weight"] > 0, r["probability"] > 0) for r in out}) == 1
+    for r in out:  # probabilities are the weights, scaled alike and cut at 1
+        scale = max(x["probability"] / x["weight"] for x in out if x["probability"] < 1)
+        assert abs(r["probability"] - min(1.0, scale * r["weight"])) < 1e-6
 
 
 # 5
