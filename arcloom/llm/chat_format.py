@@ -25,16 +25,13 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    """A role ends at the first line feed, so line feeds and backslashes in it are written as two characters."""
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    """A role ends at the first line feed, so line feeds and backslashes in it are written as two characters: \\n and \\b."""
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")))
 
 
 def unescape_role(role: Column) -> Column:
-    """The inverse of escape_role(); a backslash pair is looked at from the left."""
-    plain = unescape(role)
-    safe = F.replace(plain, F.lit("\\\\"), F.lit("\x00"))
-    with_zero = F.replace(F.replace(safe, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
-    return F.when(F.instr(plain, "\\") > 0, with_zero).otherwise(plain)
+    """The inverse of escape_role(): what was a backslash is followed by b, so one before n was a line feed."""
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
 def parse(formatted: Column) -> Column:
@@ -71,24 +68,34 @@ def chat_format(turns: DataFrame) -> DataFrame:
         F.when(F.col("safe"), F.col("text")).otherwise(escape(F.col("text"))).alias("as_text"),
     )
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    size = F.length("as_role") + F.length("as_text") + len(OPEN) + len(CLOSE) + 1
-    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = before + len(OPEN) + F.length("as_role") + 1
-    placed = rows.select(
-        "conv_id", F.row_number().over(order).alias("at"), "role", "text", "safe",
-        render(F.col("as_role"), F.col("as_text")).alias("piece"), start.alias("start"), F.length("as_text").cast("long").alias("length"),
+    placed = rows.select("conv_id", F.row_number().over(order).alias("at"), "role", "text", "safe", "as_role", "as_text")
+    whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text", "safe", "as_role", "as_text"))).alias("turns"))
+    source = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    plain = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["safe"].alias("safe"), t["as_role"].alias("as_role"), t["as_text"].alias("as_text")))
+    escaped = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.lit(False).alias("safe"), escape_role(t["role"]).alias("as_role"), escape(t["text"]).alias("as_text")))
+    joined = lambda turns: F.array_join(F.transform(turns, lambda t: render(t["as_role"], t["as_text"])), "")
+    # turns that read back alone may not do so beside each other: then all of the conversation's turns are escaped
+    once = whole.select("conv_id", source.alias("source"), "turns", plain.alias("plain"))
+    turns = once.select("conv_id", "source", F.when(parse(joined("plain")) == F.col("source"), F.col("plain")).otherwise(escaped).alias("turns"))
+    formatted = turns.select("conv_id", "source", "turns", joined("turns").alias("formatted"), starts(F.col("turns")).alias("starts"))
+    spans = F.filter(
+        F.transform("turns", lambda t, i: F.struct(F.get("starts", i).alias("start"), F.length(t["as_text"]).cast("long").alias("length"), t["role"].alias("role"))), lambda s: s["role"] == "assistant"
     )
-    whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text", "safe", "piece", "start", "length"))).alias("turns"))
-    formatted = whole.select(
-        "conv_id",
-        F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"),
-        F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length"))).alias("spans"),
-        F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"),
-        F.size(F.filter("turns", lambda t: ~t["safe"])).alias("n_escaped"),
-    )
     return formatted.withColumn("parsed", parse(F.col("formatted"))).select(
-        "conv_id", "formatted", "spans", "parsed", "n_escaped", (F.col("parsed") == F.col("source")).alias("round_trip")
-    )
+        "conv_id", "formatted", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias("spans"), "parsed",
+        F.size(F.filter("turns", lambda t: ~t["safe"])).alias("n_escaped"), (F.col("parsed") == F.col("source")).alias("round_trip"),
+    )
+
+
+def starts(turns: Column) -> Column:
+    """Where the text of each turn begins, in code points: sums of what stands before it, in one pass."""
+    empty = F.struct(F.lit(0).cast("long").alias("end"), F.expr("cast(array() as array<bigint>)").alias("at"))
+
+    def step(a: Column, t: Column) -> Column:
+        first = a["end"] + len(OPEN) + F.length(t["as_role"]) + 1
+        return F.struct((first + F.length(t["as_text"]) + len(CLOSE)).cast("long").alias("end"), F.concat(a["at"], F.array(first.cast("long"))).alias("at"))
+
+    return F.aggregate(turns, empty, step, lambda a: a["at"])
 
 
 def masked_text(formatted: Column, spans: Column) -> Column:

@@ -114,12 +114,13 @@ class PieceCodec:
 
     def stretch(self, text: str, starts: list[str | None]) -> list[str]:
         """Backtracking over one stretch; ``failed`` is the bitfield of places from which no way leads on."""
-        failed, at, path, n = 0, 0, [], len(text)
+        failed, at, path, n = None, 0, [], len(text)  # most words need no bitfield
         piece, fits, shorter = starts[0], self.fits, self.shorter
         while at < n:
             last = path[-1] if path else None
             while piece is not None:
-                if not failed >> (at + len(piece)) & 1:
+                end = at + len(piece)
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
                     known = True if last is None else fits.get((last, piece))
                     if known or known is None and self.follows(last, piece):
                         break
@@ -129,9 +130,11 @@ class PieceCodec:
                 at += len(piece)
                 piece = starts[at] if at < n else None
             else:
-                failed |= 1 << at
                 if not path:
                     return self.merged(text)
+                if failed is None:
+                    failed = bytearray((n >> 3) + 1)
+                failed[at >> 3] |= 1 << (at & 7)
                 piece = path.pop()
                 at -= len(piece)
                 piece = shorter[piece]

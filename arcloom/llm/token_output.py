@@ -89,24 +89,27 @@ class TokenEncoder:
 
     Byte-level BPE never merges across the start of white space that follows other characters. Where every space in a
     text stands before a word, the text may therefore be cut at its spaces; each distinct word is encoded by the library
-    once, many in one call, and looked up afterwards. Other texts go to the library whole.
+    once, many in one call, and looked up afterwards. Other texts go to the library whole, and so do texts with the
+    string of a special token, which the library encodes as that token.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that the library takes for one token wherever they stand, so that texts with them go to it whole.
+        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         size = self.library.get_vocab_size()
         #: Each sign of a token stands for one byte of text.
         self.widths = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
         self.kept: dict[str, bytes] = {}
 
-    @staticmethod
-    def plain(text: str) -> bool:
-        """Whether every space of the text stands before a character that is not white space."""
+    def plain(self, text: str) -> bool:
+        """Whether every space of the text stands before a character that is not white space, and no special string is in it."""
         if text.startswith(" ") or text.endswith(" ") or any(p in text for p in PAIRS) or any(c in text for c in ODD_ASCII):
             return False
+        if any(x in text for x in self.special):
+            return False
         return text.isascii() or not any(c in text for c in ODD_WIDE)
 
     def whole(self, text: str) -> bytes:
@@ -201,6 +204,28 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, whole=True)
 
 
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids (array) of some documents: of a block only two bounds and the ids between them are decoded for each."""
+    import pyarrow as pa
+
+    wanted = set(doc_ids)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, found = [], []
+            for row in batch.to_pylist():
+                bounds = EliasFano.from_bytes(row["bounds"])
+                for i, name in enumerate(row["doc_ids"]):
+                    if name in wanted:
+                        a, b = bounds.select(i - 1) if i else 0, bounds.select(i)
+                        names.append(name)
+                        found.append(np.frombuffer(row["ids"], dtype=f"<u{row['width']}", offset=a * row["width"], count=b - a).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    table = spark.read.schema(BLOCKS).parquet(path).filter(F.arrays_overlap("doc_ids", F.array(*map(F.lit, doc_ids)).cast("array<long>")))
+    return table.select("width", "doc_ids", "bounds", "ids").mapInArrow(chosen, "doc_id long, ids array<long>")
+
+
 def read_token_digest(spark: SparkSession, path: str) -> DataFrame:
     """As read_token_ids(), with the unsigned crc32 of the ids as little-endian 32-bit integers in their place."""
     return _read(spark, path, whole=False)
@@ -214,7 +239,8 @@ def _read(spark: SparkSession, path: str, whole: bool) -> DataFrame:
 
         for batch in batches:
             for row in batch.to_pylist():
-                ends = EliasFano.from_bytes(row["bounds"]).all().astype(np.int64)
+                bounds = EliasFano.from_bytes(row["bounds"])
+                ends = np.fromiter(map(bounds.select, range(bounds.n)), dtype=np.int64, count=bounds.n)
                 starts = np.concatenate([[0], ends[:-1]])
                 ids = np.frombuffer(row["ids"], dtype=f"<u{row['width']}").astype("<u4")
                 own = [ids[a:b] for a, b in zip(starts, ends, strict=True)]

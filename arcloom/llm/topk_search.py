@@ -12,8 +12,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a candidate block and of a query block; the scores of one query over a block fit the processor's cache.
-BLOCK, QUERIES = 16_384, 4_096
+#: Rows of a candidate block and of a query block; the scores of one query over a block fit the processor's cache. Each
+#: candidate is shuffled once for a query block, against some millions of multiplications that it then serves.
+BLOCK, QUERIES = 16_384, 32_768
+#: Lists of a query that are merged at a time.
+MERGED = 64
 
 
 def integer_vectors(table: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -65,12 +68,15 @@ def top_k_search(table: DataFrame, is_query: Column, k: int = 20, scale: float =
     n_blocks, n_queries = max(1, -(-n[0] // block)), max(1, -(-n[1] // queries))
     least = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
     if n[0] > 64 * least:
-        n_blocks = max(n_blocks, -(-least // n_queries))
+        n_blocks = max(n_blocks, -(-4 * least // n_queries))
     deal = lambda salt, many: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(many)).cast("int")
     candidates = vectors.select(deal(0, n_blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("q"), "vec_id", "v")
-    asked = vectors.filter(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), deal(1, n_queries).alias("q"), "vec_id", "v")
+    asked = vectors.filter(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), deal(1, n_queries).alias("q"), F.col("vec_id").alias("query_id"), F.col("v").alias("of_query"))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["query_id", "vec_id", "score", "part"]
+        if not left.num_rows or not right.num_rows:  # a side without rows lacks columns
+            return pa.table({name: pa.array([], pa.int64()) for name in names})
         ids = left.column("vec_id").to_numpy()
         terms = postings(left.column("v").to_pylist())
         out: list[list[np.ndarray]] = [[], [], []]
@@ -78,7 +84,7 @@ def top_k_search(table: DataFrame, is_query: Column, k: int = 20, scale: float =
         dense = {t: np.ascontiguousarray(w) for t, rows, w in terms if len(rows) == len(ids)}
         sparse = {t: (rows, w) for t, rows, w in terms if t not in dense}
         own = np.argsort(ids)
-        for query, vector in zip(right.column("vec_id").to_pylist(), right.column("v").to_pylist(), strict=True) if len(ids) else ():
+        for query, vector in zip(right.column("query_id").to_pylist(), right.column("of_query").to_pylist(), strict=True):
             scores[:] = 0
             for t, x in enumerate(vector):
                 if x and t in dense:
@@ -94,9 +100,14 @@ def top_k_search(table: DataFrame, is_query: Column, k: int = 20, scale: float =
             for o, x in zip(out, (np.full(len(best), query), best, score), strict=True):
                 o.append(x)
         flat = [pa.array(np.concatenate(o) if o else np.array([], dtype=np.int64), pa.int64()) for o in out]
-        return pa.Table.from_arrays(flat, ["query_id", "vec_id", "score"])
-
-    lists = candidates.groupBy("b", "q").cogroup(asked.groupBy("b", "q")).applyInArrow(scored, "query_id long, vec_id long, score long")
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k)  # at most k for each block
+        own = pa.array(np.full(len(flat[0]), right.column("b")[0].as_py(), dtype=np.int64))
+        return pa.Table.from_arrays([*flat, own], names)
+
+    lists = candidates.groupBy("b", "q").cogroup(asked.groupBy("b", "q")).applyInArrow(scored, "query_id long, vec_id long, score long, part long")
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k)
+    while n_blocks > MERGED:  # no array gets more than MERGED lists
+        lists = lists.groupBy("query_id", F.floor(F.col("part") / MERGED).alias("part")).agg(best.alias("best")).select("query_id", "part", F.explode("best").alias("x"))
+        lists = lists.select("query_id", F.col("x.vec_id").alias("vec_id"), (-F.col("x.minus")).alias("score"), "part")
+        n_blocks = -(-n_blocks // MERGED)
     merged = lists.groupBy("query_id").agg(best.alias("best"))
     return merged.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.minus")).alias("score"))
