@@ -75,10 +75,8 @@ def get_coverage_targets(graph: Graph, kind: str = "edges") -> DataFrame:
     if kind == "maximal-simple-paths":
         from .paths import get_simple_paths
 
-        found = None
-        for (node,) in graph.distinct_nodes.select("id").orderBy("ord").collect():  # one search from each node, in one job each
-            own = get_simple_paths(graph, node).unionByName(graph.spark.createDataFrame([(node, [], 0.0)], "source string, steps array<struct<edge:string,node:string>>, cost double"))
-            found = own if found is None else found.unionByName(own)
+        alone = graph.distinct_nodes.select(F.col("id").alias("source"), F.array().cast("array<struct<edge:string,node:string>>").alias("steps"), F.lit(0.0).alias("cost"))
+        found = get_simple_paths(graph, everywhere=True).unionByName(alone)
         paths = stored(found.withColumn("path", F.monotonically_increasing_id()), "simple")
         best = get_reduced_paths(paths).select(F.col("source"), get_path_edges().alias("edges"))
         return best.select(F.concat(F.lit("path:"), F.to_json(F.struct("source", "edges"))).alias("target"), F.lit("subpath").alias("kind"), "source", "edges")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset, as in tests."""
+    """spark.checkpoint.dir; a folder of our own where that is unset and Spark runs in one process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = made.get() if made.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), "arcloom-shared")
+        if made.isDefined():
+            folder = made.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            folder = "file://" + os.path.join(tempfile.gettempdir(), "arcloom-shared")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 

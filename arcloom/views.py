@@ -35,6 +35,15 @@ DIALOG = """SELECT concat(conv_id, '.', a, '-', b) AS id, concat(conv_id, '.', a
 FROM (SELECT conv_id, turn AS a, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) t WHERE b IS NOT NULL"""
 DIALOG_NODES = "SELECT concat(conv_id, '.', turn) AS id, CAST(conv_id * 1000 + turn AS BIGINT) AS ord FROM conversations"
 
+#: A world over regions over nations over customers as a tree of edges; without the customers, the lands.
+_LANDS = """SELECT concat('r', r_regionkey) AS id, 'w' AS parent, CAST(r_regionkey AS BIGINT) AS ord FROM region
+UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), CAST(100 + n_nationkey AS BIGINT) FROM nation"""
+_WORLD = f"{_LANDS} UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey), CAST(1000 + c_custkey AS BIGINT) FROM customer"
+_AS_EDGES = "SELECT concat('e-', id) AS id, parent AS source_id, id AS target_id, ord, CAST(1 + ord % 7 AS DOUBLE) AS weight FROM"
+_AS_NODES = "SELECT 'w' AS id, CAST(-1 AS BIGINT) AS ord UNION ALL SELECT id, ord FROM"
+LANDS, LAND_NODES = f"{_AS_EDGES} ({_LANDS}) t", f"{_AS_NODES} ({_LANDS}) t"
+WORLD, WORLD_NODES = f"{_AS_EDGES} ({_WORLD}) t", f"{_AS_NODES} ({_WORLD}) t"
+
 
 def _frame(spark: SparkSession, sf_dir: str, sql: str):
     for name in TABLES:
@@ -71,3 +80,11 @@ def flow(spark: SparkSession, sf_dir: str) -> Graph:
 
 def dialog(spark: SparkSession, sf_dir: str) -> Graph:
     return _graph(spark, sf_dir, DIALOG_NODES, DIALOG, DIRECTED)
+
+
+def world(spark: SparkSession, sf_dir: str, mode: str = DIRECTED) -> Graph:
+    return _graph(spark, sf_dir, WORLD_NODES, WORLD, mode)
+
+
+def lands(spark: SparkSession, sf_dir: str, mode: str = DIRECTED) -> Graph:
+    return _graph(spark, sf_dir, LAND_NODES, LANDS, mode)
