@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.random32 import nth_number, numbers
 from ..model import EDGE_KINDS, NODE_KINDS, UNDIRECTED, Graph, GraphError, complete, create_graph
 from ..plans.numbering import numbered
+from ..plans.storage import drop_stored, stored
 
 
 def _whole(what: str, n: int) -> None:
@@ -165,13 +166,14 @@ def get_serialized_snapshot(snapshot: Any) -> str:
 
 
 def get_index(graph: Graph) -> Graph:
-    """The graph with nodes and edges persisted; the frames are evaluated once at their first use."""
-    return graph.with_(nodes=graph.nodes.persist(), edges=graph.edges.persist())
+    """The graph with nodes and edges stored in the shared folder, evaluated once and safe from lost executors."""
+    return graph.with_(nodes=stored(graph.nodes, "nodes"), edges=stored(graph.edges, "edges"))
 
 
 def invalidate_index(graph: Graph) -> None:
-    graph.nodes.unpersist()
-    graph.edges.unpersist()
+    """Deletes what get_index() has stored."""
+    drop_stored(graph.nodes)
+    drop_stored(graph.edges)
 
 
 def get_graph_snapshot(graph: Graph) -> Graph:

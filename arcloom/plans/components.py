@@ -1,4 +1,4 @@
-"""Connected components by neighbor minimum and pointer jumping."""
+"""Connected components by neighbor minimum and pointer jumping, or by joining sets where a graph fits one task."""
 
 from __future__ import annotations
 
@@ -8,13 +8,69 @@ from pyspark.sql import functions as F
 from .storage import drop_stored, stored
 
 
-def min_labels(vertices: DataFrame, links: DataFrame) -> DataFrame:
+#: Vertices and links of a graph that one task joins, with about 100 bytes for each.
+IN_ONE_TASK = 2_000_000
+
+
+def joined_labels(vertices: DataFrame, links: DataFrame) -> DataFrame:
+    """The result of min_labels() from one task that keeps a tree of sets."""
+    import pyarrow as pa
+
+    kinds = dict(vertices.dtypes)
+    schema = f"v {kinds['v']}, root {kinds['v']}, root_rank {kinds['rank']}"
+
+    def join(batches):
+        first: dict = {}
+        pairs: list[tuple] = []
+        for batch in batches:
+            v, rank, other = (c.to_pylist() for c in batch.columns)
+            for a, r, b in zip(v, rank, other, strict=True):
+                if b is None:
+                    first[a] = ((r is not None, r) if r is not None else (False, 0), a, r)
+                else:
+                    pairs.append((a, b))
+        above = {v: v for v in first}
+
+        def top(v):
+            while above[v] != v:
+                above[v] = v = above[above[v]]
+            return v
+
+        for a, b in pairs:
+            if a in above and b in above:
+                x, y = top(a), top(b)
+                if x != y:
+                    low, high = (x, y) if first[x] < first[y] else (y, x)
+                    above[high] = low
+        names = list(above)
+        for at in range(0, len(names), 100_000):
+            part = names[at : at + 100_000]
+            roots = [top(v) for v in part]
+            yield pa.RecordBatch.from_pydict({"v": part, "root": roots, "root_rank": [first[r][2] for r in roots]}, schema=made)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    made = to_arrow_schema(_parse_datatype_string(schema))
+    alone = vertices.select("v", "rank", F.lit(None).cast(kinds["v"]).alias("other"))
+    both = alone.unionByName(links.select(F.col("a").alias("v"), F.lit(None).cast(kinds["rank"]).alias("rank"), F.col("b").alias("other")))
+    return both.repartition(1).mapInArrow(join, schema)
+
+
+def min_labels(vertices: DataFrame, links: DataFrame, in_one_task: int = 0) -> DataFrame:
     """Vertices (v, rank) with the smallest (rank, v) of their component as ``root`` and ``root_rank``.
 
+    A graph of at most ``in_one_task`` vertices and links is joined in one task, with the same result.
+
     ``links`` has columns a and b, taken as undirected; links to unknown vertices are ignored. A round takes the
     neighbors' minimum and then the label's own label, so that rounds grow with the logarithm of a component's width.
     """
     both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    if in_one_task:
+        own = stored(vertices.select("v", "rank"), "vertices")
+        if own.count() + both.count() // 2 <= in_one_task:
+            return joined_labels(own, both.filter("a < b"))
+        vertices = own
     labels = stored(vertices.select("v", F.struct(F.col("rank"), F.col("v").alias("id")).alias("label")), "labels")
     while True:
         heard = both.join(labels, both.a == labels.v).groupBy("b").agg(F.min("label").alias("heard"))

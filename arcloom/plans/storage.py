@@ -34,10 +34,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_stored(df: DataFrame) -> None:
-    """Deletes the files of a stored() table that nothing reads any more."""
+    """Deletes the files of a stored() table that nothing reads any more; files of other tables are left alone."""
     jvm = df.sparkSession._jvm
     conf = df.sparkSession._jsc.hadoopConfiguration()
+    own = re.compile(rf".*{re.escape(re.sub('^[a-z]+:/*', '/', shared_dir(df.sparkSession)))}/[^/]+-[0-9a-f]{{32}}")
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if not own.fullmatch(folder):
+            continue
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 
