@@ -19,13 +19,12 @@ from arcloom.llm.suffix_dedup import suffix_dedup
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a number for each row, and that column's name.
+    """``docs`` with a number for each row, and that column's name; null and repeated ids are told apart by it.
 
-    A stage reads its Parquet input twice, and the same rows have the same numbers both times; so null and repeated ids
-    are told apart.
+    The table is stored, so that the rows have the same numbers however often they are read.
     """
     row = fresh_names(docs, "_row")[0]
-    return docs.withColumn(row, F.monotonically_increasing_id()), row
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def rows_in(docs: DataFrame, row: str, kept: DataFrame) -> DataFrame:

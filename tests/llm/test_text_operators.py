@@ -587,21 +587,114 @@ def test_quality_rules(spark, docs, empty):
 # pipeline
 
 
-def test_pipeline_stages(spark, docs, empty):
+def test_pipeline_stages_of_empty_tables(spark, empty):
     import corpus_pipeline as P
 
     assert [n for n, _ in P.STAGES] == ["quality_rules", "near_duplicates", "suffix_dedup", "mixing", "encoding"]
-    stages = dict(P.STAGES)
-    from arcloom.llm.minhash_dedup import near_duplicates
-    from arcloom.llm.quality_rules import quality_rules
-
-    named = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    kept = {r["doc_id"] for r in quality_rules(named).collect() if r["kept"] and r["doc_id"] is not None}
-    assert {r["doc_id"] for r in stages["quality_rules"](spark, named, "").collect()} == kept
-    near = {r["doc_id"] for r in near_duplicates(named).collect() if r["kept"] and r["doc_id"] is not None}
-    out = stages["near_duplicates"](spark, named, "")
-    assert out.columns == named.columns and {r["doc_id"] for r in out.collect()} == near and out.count() == len(near)
     for name, stage in P.STAGES:
         made = stage(spark, empty, "")
         assert made.count() == 0
         assert name == "encoding" or made.columns == empty.columns
+
+
+def judged_by_hand(rows):
+    """Which of (text, lang) rows the quality rules keep: counts, histograms and distances in plain Python."""
+    import regex
+
+    low = lambda t: [w.lower() for w in split_words(t)]
+    split_words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
+    common = {}
+    for lang in {lang or "" for _, lang in rows}:
+        n = Counter(w for t, of in rows if (of or "") == lang for w in low(t))
+        common[lang] = [w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0].encode()))[:16]]
+
+    def histograms(text, lang):
+        t = text or ""
+        words, n = split_words(t), Counter(low(t))
+        count = lambda rule: len(regex.findall(rule, t))
+        upper, letter, digit, point, symbol = (count(r) for r in (r"\p{Lu}", r"\p{L}", r"\p{Nd}", r"[.,;:!?'\"()-]", r"[#*$%&|<>]"))
+        inside = sum(map(len, words))
+        listed = [n[w] for w in common[lang]]
+        return [upper, letter - upper, digit, point, symbol, len(t) - inside, max(0, inside - letter - digit - point - symbol)], [*listed, len(words) - sum(listed)], inside - letter - digit - point - symbol
+
+    each = [(lang or "", *histograms(t, lang or "")) for t, lang in rows]
+    sums = {}
+    for lang, chars, words, rest in each:
+        a, b, c = sums.get(lang, ([0] * 7, [0] * len(words), 0))
+        sums[lang] = ([x + y for x, y in zip(a, chars, strict=True)], [x + y for x, y in zip(b, words, strict=True)], c + rest)
+    sums = {lang: ([*a[:6], max(0, c)], b) for lang, (a, b, c) in sums.items()}
+
+    def distance(p, q):
+        if not sum(p) or not sum(q):
+            return 0.0
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+        part = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m, strict=True) if x)
+        return math.sqrt(max(0.0, part(p) / 2 + part(q) / 2))
+
+    kept = []
+    for (text, _), (lang, chars, words, _) in zip(rows, each, strict=True):
+        n, *_, failed = base_counts(text)
+        kept.append(not failed and distance(chars, sums[lang][0]) <= 0.30 and distance(words, sums[lang][1]) <= 0.25 + 1 / math.sqrt(max(n, 1)))
+    return kept
+
+
+def topic_by_hand(text):
+    import regex
+
+    t = text or ""
+    n, share = len([w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]), lambda rule: len(regex.findall(rule, t)) / max(1, len(t))
+    for name, holds in (("note", n < 50), ("markup", share(r"[#*$%&|<>]") > 0.03), ("figures", share(r"\p{Nd}") > 0.05), ("capitals", share(r"\p{Lu}") > 0.3), ("short prose", n < 300)):
+        if holds:
+            return name
+    return "long prose"
+
+
+def test_pipeline_by_brute_force(spark):
+    """Every stage on what the stage before it kept, against plain Python; ids may be null or repeated, columns may clash."""
+    import corpus_pipeline as P
+    from arcloom.llm.mixing import mixing_table
+    from arcloom.llm.piece_codec import PieceCodec
+
+    draw = random.Random(12)
+    say = lambda n: " ".join(draw.choice(WORDS) for _ in range(n))
+    passage, base = say(60), say(200)
+    texts = [(i, f"{say(80)}\n{passage}\n{say(draw.randint(60, 120))}") for i in range(12)]
+    texts += [(i, say(draw.randint(40, 400))) for i in range(20, 50)]
+    texts += [(60 + i, " ".join(f"e{i}" if k in draw.sample(range(200), 2) else w for k, w in enumerate(base.split()))) for i in range(6)]
+    texts += [(70, base), (71, base), (None, say(90)), (None, say(95)), (72, "x#$%& " * 90), (72, say(110)), (73, "same " * 80), (74, None), (75, "")]
+    table = [(i, t, draw.choice(["en", "de", None]), draw.choice("ab"), len(t or ""), "kept", 7) for i, t in texts]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long, _kept string, _row int")
+    stages = dict(P.STAGES)
+    as_rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    made = spark.createDataFrame(stages["quality_rules"](spark, docs, "").collect(), docs.schema)
+    have = sorted(table, key=repr)
+    have = [r for r, k in zip(have, judged_by_hand([(r[1], r[2]) for r in have]), strict=True) if k]
+    assert as_rows(made) == have and 40 < len(have) < len(table)
+    found = components([(k, r[1]) for k, r in enumerate(have)])
+    groups = {}
+    for k, (_, _, c) in enumerate(found):
+        groups.setdefault(c, []).append((have[k][0] is None, have[k][0] or 0, k))
+    left = sorted((have[min(g)[2]] for g in groups.values()), key=repr)
+    made = spark.createDataFrame(stages["near_duplicates"](spark, made, "").collect(), docs.schema)
+    assert as_rows(made) == left and len(left) < len(have) and sum(r[0] is None for r in left) == 2
+    data = [(r[1] or "").encode() for r in left]
+    seen = Counter(b[k : k + 200] for b in data for k in range(len(b) - 199))
+    trimmed = []
+    for r, b in zip(left, data, strict=True):
+        flags = [False] * len(b)
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                flags[k : k + 200] = [True] * 200
+        text = bytes(c for c, f in zip(b, flags, strict=True) if not f).decode("utf-8", "ignore")
+        trimmed.append((r[0], text, *r[2:4], len(text), *r[5:]))
+    made = spark.createDataFrame(stages["suffix_dedup"](spark, made, "").collect(), docs.schema)
+    assert as_rows(made) == sorted(trimmed, key=repr) and trimmed != left
+    chance = {(r["source"], r["lang"], r["topic"]): r["probability"] for r in mixing_table(made).collect()}
+    number = lambda i: int(hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 16**13
+    mixed = sorted((r for r in trimmed if number(r[0]) < chance[r[3], r[2] or "", topic_by_hand(r[1])]), key=repr)
+    made = spark.createDataFrame(stages["mixing"](spark, made, "").collect(), docs.schema)
+    assert as_rows(made) == mixed and 0 < len(mixed) < len(trimmed)
+    library = PieceCodec(Q.vocabulary("piece_bpe_32k.model")).library
+    want = [(r[0], len(ids), ids, library.decode(ids)) for r in mixed for ids in [library.encode(r[1] or "", add_bos=True, add_eos=True)]]
+    assert as_rows(stages["encoding"](spark, made, "")) == sorted(want, key=repr)
