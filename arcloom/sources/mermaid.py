@@ -188,28 +188,6 @@ def to_mermaid_state(r: Record) -> str:
     return "stateDiagram-v2\n" + body(None, r.get("initial_node_id"), "  ") + "".join(f"  {e['source_id']} --> {e['target_id']}{' : ' + e['label'] if e.get('label') else ''}\n" for e in r["edges"])
 
 
-# sequences
-
-
-def from_mermaid_sequence(text: str) -> Record:
-    made = _Made()
-    lines = iter(_lines(text, "sequenceDiagram"))
-    next(lines)
-    for line in lines:
-        line = line.strip()
-        if m := re.match(r"(?:create\s+)?(participant|actor)\s+(\S+?)(?:\s+as\s+(.+))?$", line):
-            made.node(m[2], label=m[3], shape=m[1])
-        elif m := re.match(r"([^-<+\s:][^-<:]*?)\s*(<<)?(--?)(>>|>|x|\))\s*([+-]?)\s*([^:]+?)\s*:\s*(.*)$", line):
-            made.edge(m[1].strip(), m[6].strip(), label=m[7] or None, mode=BIDIRECTIONAL if m[2] else None, data={"arrow": (m[2] or "") + m[3] + m[4], "order": len(made.edges)})
-    return made.record()
-
-
-def to_mermaid_sequence(r: Record) -> str:
-    arrow = lambda e: (e.get("data") or {}).get("arrow") or ("<<->>" if effective(r, e) == BIDIRECTIONAL else "->>") if isinstance(e.get("data") or {}, dict) else "->>"
-    people = "".join(f"  {n['shape'] if n.get('shape') == 'actor' else 'participant'} {n['id']}{' as ' + n['label'] if n.get('label') else ''}\n" for n in r["nodes"])
-    return "sequenceDiagram\n" + people + "".join(f"  {e['source_id']}{arrow(e)}{e['target_id']}: {e.get('label') or ''}\n" for e in r["edges"])
-
-
 # classes, entities, requirements
 
 CLASS_LINK = re.compile(r"^(\S+)\s*(?:\"([^\"]*)\"\s*)?(<\|--|<\|\.\.|\*--|o--|<--|<\.\.|--\|>|\.\.\|>|--\*|--o|-->|\.\.>|--|\.\.)\s*(?:\"([^\"]*)\"\s*)?(\S+)\s*(?::\s*(.*))?$")

@@ -14,6 +14,7 @@ from . import mermaid as M
 from . import text_documents as T
 from . import xml_documents as X
 from .json_documents import Record
+from .mermaid_sequence import from_mermaid_sequence, to_mermaid_sequence
 
 #: name: (reader, writer)
 FORMATS: dict[str, tuple[Callable[[str], Record], Callable[[Record], str]]] = {
@@ -21,7 +22,7 @@ FORMATS: dict[str, tuple[Callable[[str], Record], Callable[[Record], str]]] = {
     "networkx": (J.from_networkx, J.to_networkx), "graphology": (J.from_graphology, J.to_graphology), "graphlib": (J.from_graphlib, J.to_graphlib), "cytoscape": (J.from_cytoscape, J.to_cytoscape), "d3": (J.from_d3, J.to_d3),
     "jgf": (J.from_jgf, J.to_jgf), "xyflow": (J.from_xyflow, J.to_xyflow), "elk": (J.from_elk, J.to_elk), "cx2": (J.from_cx2, J.to_cx2), "graphson": (J.from_graphson, J.to_graphson), "graphviz-json": (J.from_graphviz_json, J.to_graphviz_json),
     "graphml": (X.from_graphml, X.to_graphml), "gexf": (X.from_gexf, X.to_gexf), "dgml": (X.from_dgml, X.to_dgml), "drawio": (X.from_drawio, X.to_drawio),
-    "mermaid/flowchart": (M.from_mermaid_flowchart, M.to_mermaid_flowchart), "mermaid/state": (M.from_mermaid_state, M.to_mermaid_state), "mermaid/sequence": (M.from_mermaid_sequence, M.to_mermaid_sequence),
+    "mermaid/flowchart": (M.from_mermaid_flowchart, M.to_mermaid_flowchart), "mermaid/state": (M.from_mermaid_state, M.to_mermaid_state), "mermaid/sequence": (from_mermaid_sequence, to_mermaid_sequence),
     "mermaid/class": (M.from_mermaid_class, M.to_mermaid_class), "mermaid/er": (M.from_mermaid_er, M.to_mermaid_er), "mermaid/requirement": (M.from_mermaid_requirement, M.to_mermaid_requirement),
     "mermaid/mindmap": (M.from_mermaid_mindmap, M.to_mermaid_mindmap), "mermaid/ishikawa": (M.from_mermaid_ishikawa, M.to_mermaid_ishikawa), "mermaid/sankey": (M.from_mermaid_sankey, M.to_mermaid_sankey),
     "mermaid/architecture": (M.from_mermaid_architecture, M.to_mermaid_architecture), "mermaid/block": (M.from_mermaid_block, M.to_mermaid_block), "mermaid/c4": (M.from_mermaid_c4, M.to_mermaid_c4),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from typing import Any
 
 from ..model import BIDIRECTIONAL, DIRECTED, UNDIRECTED, GraphError
@@ -37,52 +38,88 @@ MAX_PAJEK = 16 << 20
 
 
 def from_pajek(text: str) -> Record:
+    """Vertices by number with their labels; further words of a line are kept in data.attributes.
+
+    An edge is named by its kind, its ends (in order if undirected) and how many such edges there were before it.
+    """
     if len(text) > MAX_PAJEK:
         raise GraphError(f"files of more than {MAX_PAJEK} characters are not read")
-    section, names, nodes, edges, kinds = "", {}, [], [], set()
+    section, name, nodes, edges, kinds = "", None, [], [], set()
+    seen: dict[str, int] = {}
+
+    def place(word: str) -> str:
+        if not re.fullmatch(r"\d+", word) or not 1 <= int(word) <= len(nodes):
+            raise GraphError(f"Pajek: there is no vertex {word!r}")
+        return str(int(word))
+
+    def add(s: str, t: str, rest: list[tuple[str, str]], mode: str) -> None:
+        s, t = place(s), place(t)
+        pair = json.dumps([mode, *(sorted((s, t)) if mode == UNDIRECTED else (s, t))], separators=(",", ":"))
+        k = seen[pair] = seen.get(pair, -1) + 1
+        weight = None
+        if rest and not rest[0][0] and re.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?", rest[0][1]):
+            weight, rest = float(rest[0][1]), rest[1:]
+        words = [a or b for a, b in rest]
+        if len(words) % 2:
+            raise GraphError("Pajek: attributes of an edge are pairs of a name and a value")
+        named = list(zip(words[::2], words[1::2], strict=True))
+        label = next((v for n, v in named if n.lower() == "l"), None)
+        attributes = [w for n, v in named if n.lower() != "l" for w in (n, v)]
+        ident = json.dumps([pair, k], separators=(",", ":"))
+        edges.append(edge(f"pajek:edge:{ident}", s, t, weight=weight, mode=mode, label=label, data={"attributes": attributes} if attributes else None))
+
     for line in text.splitlines():
         line = line.strip()
         if not line or line.startswith("%"):
             continue
-        parts = [a or b for a, b in re.findall(r'"([^"]*)"|(\S+)', line)]
+        words = re.findall(r'"([^"]*)"|(\S+)', line)
+        parts = [a or b for a, b in words]
         if line.startswith("*"):
             section = parts[0].lower()
-            if section == "*vertices":
-                for i in range(1, int(parts[1]) + 1):
-                    names[str(i)] = len(nodes)
-                    nodes.append(node(i))
+            if section == "*network":
+                name = " ".join(parts[1:]) or None
+            elif section == "*vertices":
+                if nodes or len(parts) < 2 or not parts[1].isdigit():
+                    raise GraphError("Pajek: one set of vertices with its size is wanted")
+                nodes = [node(i) for i in range(1, int(parts[1]) + 1)]
+            elif section not in ("*arcs", "*edges", "*arcslist", "*edgeslist"):
+                raise GraphError(f"Pajek: section {section!r} is not read")
             continue
+        if any(not a and re.search(r"[\[\]]", b) for a, b in words):
+            raise GraphError("Pajek: times in brackets are not read")
         if section == "*vertices":
-            n = nodes[names[parts[0]]]
+            own = nodes[int(place(parts[0])) - 1]
             if len(parts) > 1:
-                n["label"] = parts[1]
-            for k, v in zip(("x", "y"), parts[2:4], strict=False):
-                if re.fullmatch(r"[-+.\deE]+", v):
-                    n[k] = float(v)
+                own["label"] = parts[1]
+            if len(parts) > 2:
+                own["data"] = {"attributes": parts[2:]}
         elif section in ("*arcs", "*edges"):
             kinds.add(section)
-            w = float(parts[2]) if len(parts) > 2 and re.fullmatch(r"[-+.\deE]+", parts[2]) else None
-            edges.append(edge(f"e{len(edges)}", parts[0], parts[1], weight=w, mode=DIRECTED if section == "*arcs" else UNDIRECTED))
+            add(parts[0], parts[1], words[2:], DIRECTED if section == "*arcs" else UNDIRECTED)
         elif section in ("*arcslist", "*edgeslist"):
             kinds.add(section.replace("list", ""))
-            edges += [edge(f"e{len(edges) + i}", parts[0], t, mode=DIRECTED if section == "*arcslist" else UNDIRECTED) for i, t in enumerate(parts[1:])]
+            for t in parts[1:]:
+                add(parts[0], t, [], DIRECTED if section == "*arcslist" else UNDIRECTED)
+        else:
+            raise GraphError("Pajek: a line outside all sections")
     mode = UNDIRECTED if kinds == {"*edges"} else DIRECTED
     for e in edges:
         if e["mode"] == mode:
             del e["mode"]
-    return record(mode, nodes, edges)
+    return record(mode, nodes, edges, id=name)
 
 
 def to_pajek(r: Record) -> str:
     place = {n["id"]: i for i, n in enumerate(r["nodes"], 1)}
-    out = [f"*Vertices {len(place)}"]
-    for n in r["nodes"]:
-        spot = f" {n['x']:g} {n['y']:g}" if n.get("x") is not None and n.get("y") is not None else ""
-        out.append(f'{place[n["id"]]} "{(n.get("label") or n["id"]).replace(chr(34), chr(39))}"{spot}')
+    words = lambda x: "".join(f" {w}" if re.fullmatch(r"[^\s\"\[\]]+", w) else f' "{w}"' for w in (x.get("data") or {}).get("attributes", [])) if isinstance(x.get("data"), dict) else ""
+    quoted = lambda t: '"' + t.replace('"', "'") + '"'
+    out = [*([f"*Network {quoted(r['id'])}"] if r.get("id") else []), f"*Vertices {len(place)}"]
+    out += [f"{place[n['id']]} {quoted(n.get('label') or n['id'])}{words(n)}" for n in r["nodes"]]
     for head, directed in (("*Arcs", True), ("*Edges", False)):
         own = [e for e in r["edges"] if (effective(r, e) == DIRECTED) == directed]
         if own:
-            out += [head, *(f"{place[e['source_id']]} {place[e['target_id']]} {e['weight'] if e.get('weight') is not None else 1:g}" for e in own)]
+            labels = lambda e: f" l {quoted(e['label'])}" if e.get("label") else ""
+            out += [head, *(f"{place[e['source_id']]} {place[e['target_id']]} {e['weight'] if e.get('weight') is not None else 1:g}{labels(e)}{words(e)}" for e in own)]
     return "\n".join(out) + "\n"
 
 
@@ -350,51 +387,125 @@ def to_dot(r: Record) -> str:
 # D2: shapes, containers in braces or by dots, connections
 
 
+# fixed values: words of the language that are fields and not shapes
+D2_FIELDS = frozenset(
+    """shape label style icon tooltip link near width height direction constraint class classes vars top left grid-rows grid-columns grid-gap vertical-gap horizontal-gap
+    source-arrowhead target-arrowhead layers scenarios steps""".split()
+)
+D2_SIGN = re.compile(r"\s*(<->|->|<-|--)\s*")
+
+
+def _d2_statements(text: str) -> Iterator[tuple[str, str]]:
+    """Statements and how each ends: '{', '}' or ''. Quoted texts and comments hold no signs; | ... | blocks are texts."""
+    line = ""
+    for m in re.finditer(r"\|(?:md|[a-z]+)?\s[\s\S]*?\|(?=\s|$)|\"(?:[^\"\\\\]|\\\\.)*\"|'[^']*'|(?:(?<=\s)|^)#[^\n]*|[{};\n]|[^\"'{};\n#|]+|.", text, re.M):
+        part = m[0]
+        if part in "{};\n":
+            if line.strip() or part == "{":
+                yield line.strip(), "{" if part == "{" else ""
+            if part == "}":
+                yield "", "}"
+            line = ""
+        elif not part.startswith("#"):
+            line += part
+    if line.strip():
+        yield line.strip(), ""
+
+
+def _d2_parts(path: str) -> list[str]:
+    return [p.strip().strip("\"'") for p in re.findall(r'"[^"]*"|\'[^\']*\'|[^.]+', path)]
+
+
 def from_d2(text: str) -> Record:
+    """Shapes, containers, connections and their fields. Fields of the model stay fields, others (style.stroke, tooltip,
+    source-arrowhead.shape ...) are kept in data under their path; those of the drawing itself in the record's data."""
     nodes: dict[str, dict] = {}
     edges: list[dict] = []
-    stack: list[str] = []
+    whole: dict = {}
+    #: Open braces: the path of a container, or the entities whose fields they hold with the fields' common beginning.
+    stack: list[tuple[list[str] | None, list[dict], list[str]]] = []
     modes = {"->": DIRECTED, "<-": DIRECTED, "<->": BIDIRECTIONAL, "--": UNDIRECTED}
 
+    def here() -> list[str]:
+        return next((path for path, _, _ in reversed(stack) if path is not None), [])
+
     def place(path: str) -> str:
-        parts = [*stack, *[p.strip().strip("\"'") for p in re.findall(r'"[^"]*"|\'[^\']*\'|[^.]+', path)]]
+        base, parts = here(), _d2_parts(path)
+        while parts and parts[0] == "_":  # the container around
+            base, parts = base[:-1], parts[1:]
+        parts = [*base, *parts]
         for k in range(1, len(parts) + 1):
             i = ".".join(parts[:k])
             if i not in nodes:
                 nodes[i] = node(i, label=parts[k - 1], parent_id=".".join(parts[: k - 1]) or None)
         return ".".join(parts)
 
-    for line in re.split(r"[\n;]", text):
-        line = re.sub(r"(^|\s)#.*", "", line).strip()
-        if not line:
-            continue
-        if line == "}":
+    def put(target: dict, path: list[str], value: str) -> None:
+        if path in (["label"], ["shape"]):
+            target[path[0]] = value
+        elif path in (["width"], ["height"]) and re.fullmatch(r"\d+(\.\d+)?", value):
+            target[path[0]] = float(value)
+        else:
+            target.setdefault("data", {})[".".join(path)] = value
+
+    for line, ends_with in _d2_statements(text):
+        if ends_with == "}":
             if not stack:
                 raise GraphError("D2: a brace closes nothing")
             stack.pop()
             continue
-        opens = line.endswith("{")
-        head, _, label = line.rstrip("{").strip().partition(":")
-        label = label.strip().strip("\"'")
-        ends = re.split(r"\s*(<->|->|<-|--)\s*", head)
-        if len(ends) > 1:
-            for i in range(0, len(ends) - 2, 2):
-                s, way, t = place(ends[i]), ends[i + 1], place(ends[i + 2])
-                edges.append(edge(f"e{len(edges)}", *((t, s) if way == "<-" else (s, t)), label=label or None, mode=None if modes[way] == DIRECTED else modes[way]))
-            if opens:
-                raise GraphError("D2: connections with fields in braces are not read")
-        elif stack and head in ("shape", "label") and label:
-            nodes[".".join(stack)][head] = label
-        elif re.fullmatch(r".+\.(shape|label)", head) and label:
-            target, _, what = head.rpartition(".")
-            nodes[place(target)][what] = label
-        else:
-            i = place(head)
-            if label:
-                nodes[i]["label"] = label
-            if opens:
-                stack += i.split(".")[len(stack) :]
-    return record(DIRECTED, list(nodes.values()), edges)
+        head, _, value = line.partition(":") if not line.startswith("(") else (*line.rpartition(")")[:1], "", line.rpartition(")")[2])
+        head, value = head.strip(), value.strip()
+        value = value.strip("|").removeprefix("md").strip() if value.startswith("|") else value.strip("\"'")
+        inside = stack[-1] if stack else (None, [], [])
+        targets, path = inside[1], [*inside[2], *_d2_parts(head)]
+        if inside[0] is None and targets:  # within a connection's or a field's own braces
+            if value or ends_with != "{":
+                for target in targets:
+                    put(target, path, value)
+            if ends_with:
+                stack.append((None, targets, path))
+            continue
+        if m := re.match(r"\((.+)\)\[(\d+)\]\.?(.*)$", line):  # a connection by its place among those between two ends
+            s, way, t = D2_SIGN.split(m[1])
+            s, t = (place(t), place(s)) if way == "<-" else (place(s), place(t))
+            found = [e for e in edges if (e["source_id"], e["target_id"]) == (s, t)][int(m[2]) : int(m[2]) + 1]
+            field, _, value = m[3].partition(":")
+            if field.strip():
+                for target in found:
+                    put(target, _d2_parts(field), value.strip().strip("\"'"))
+            if ends_with:
+                stack.append((None, found or [{}], []))
+            continue
+        ways = D2_SIGN.split(head)
+        if len(ways) > 1:
+            made = []
+            for k in range(0, len(ways) - 2, 2):
+                s, way, t = place(ways[k]), ways[k + 1], place(ways[k + 2])
+                made.append(edge(f"e{len(edges) + len(made)}", *((t, s) if way == "<-" else (s, t)), label=value or None, mode=None if modes[way] == DIRECTED else modes[way]))
+            edges += made
+            if ends_with:
+                stack.append((None, made, []))
+            continue
+        parts = _d2_parts(head)
+        at = next((k for k, p in enumerate(parts) if p in D2_FIELDS), None)
+        if at is not None:
+            owner = nodes[place(".".join(f'"{p}"' for p in parts[:at]))] if at else nodes[".".join(here())] if here() else whole
+            if value or not ends_with:
+                put(owner, parts[at:], value)
+            if ends_with:
+                stack.append((None, [owner], parts[at:]))
+            continue
+        if not head:
+            raise GraphError("D2: a brace without a name before it")
+        i = place(head)
+        if value:
+            nodes[i]["label"] = value
+        if ends_with:
+            stack.append((i.split(".") if "." not in head.strip("\"'") or '"' not in head else [*here(), *_d2_parts(head)], [], []))
+    if stack:
+        raise GraphError("D2: a brace is not closed")
+    return record(DIRECTED, list(nodes.values()), edges, **({"data": whole.get("data", {}) | {k: v for k, v in whole.items() if k != "data"}} if whole else {}))
 
 
 def to_d2(r: Record) -> str:
@@ -409,9 +520,17 @@ def to_d2(r: Record) -> str:
         return ".".join(f'"{p}"' if re.search(r"[^\w -]", p) else p for p in reversed(parts))
 
     ways = {DIRECTED: "->", BIDIRECTIONAL: "<->", UNDIRECTED: "--"}
-    lines = [path(n["id"]) + (f': "{n["label"]}"' if n.get("label") else "") for n in r["nodes"]]
-    lines += [f"{path(n['id'])}.shape: {n['shape']}" for n in r["nodes"] if n.get("shape")]
-    return "\n".join([*lines, *(f"{path(e['source_id'])} {ways[effective(r, e)]} {path(e['target_id'])}" + (f': "{e["label"]}"' if e.get("label") else "") for e in r["edges"])]) + "\n"
+    fields = lambda x: [(k, v) for k, v in x.get("data", {}).items() if isinstance(v, str) and k.split(".")[0] in D2_FIELDS] if isinstance(x.get("data"), dict) else []
+    shown = lambda v: v if re.fullmatch(r"[\w .%-]+", v) else '"' + v.replace('"', "'") + '"'
+    lines = [f"{k}: {shown(v)}" for k, v in fields(r)]
+    for n in r["nodes"]:
+        lines.append(path(n["id"]) + (f': "{n["label"]}"' if n.get("label") else ""))
+        lines += [f"{path(n['id'])}.shape: {n['shape']}"] if n.get("shape") else []
+        lines += [f"{path(n['id'])}.{k}: {shown(v)}" for k, v in fields(n)]
+    for e in r["edges"]:
+        inner = "; ".join(f"{k}: {shown(v)}" for k, v in fields(e))
+        lines.append(f"{path(e['source_id'])} {ways[effective(r, e)]} {path(e['target_id'])}" + (f': "{e["label"]}"' if e.get("label") else ":" if inner else "") + (f" {{{inner}}}" if inner else ""))
+    return "\n".join(lines) + "\n"
 
 
 # PlantUML: components and classes

@@ -57,6 +57,97 @@ def test_defaults():
         convert("", "nothing", "dot")
 
 
+SEQUENCE = """sequenceDiagram
+  autonumber 10 5
+  box Aqua Front end
+  actor A as Ann
+  participant B
+  end
+  A->>+B: hello
+  Note over A,B: both, see
+  loop every day
+    B-->>A: again
+    alt good
+      A-)B: go
+    else bad
+      A--xB: stop
+    end
+  end
+  B<<->>A: talk
+  create participant C
+  A->>C: born
+  destroy C
+  deactivate B
+  links A: {"x": "y"}
+"""
+
+
+def test_sequences_keep_blocks_notes_and_activations():
+    read, write = FORMATS["mermaid/sequence"]
+    r = read(SEQUENCE)
+    assert [(e["id"], e["label"], e.get("mode")) for e in r["edges"]][:3] == [("A-B-0", "hello", None), ("B-B-1", "", None), ("B-A-2", "again", None)]
+    assert [e["data"]["kind"] for e in r["edges"]].count("activation") == 1 and r["edges"][5].get("mode") == "bidirectional"
+    assert [e["data"].get("sequenceNumber") for e in r["edges"]][:3] == [10.0, None, 15.0]
+    own = {n["id"]: n for n in r["nodes"]}
+    assert own["A"]["label"] == "Ann" and own["A"]["data"]["actorType"] == "actor" and own["B"]["data"]["box"] == {"color": "Aqua", "title": "Front end"}
+    assert own["A"]["data"]["notes"] == own["B"]["data"]["notes"] == [{"id": "note_0", "position": "over", "text": "both, see", "over": ["A", "B"]}]
+    assert own["C"]["data"]["created"] and own["C"]["data"]["destroyed"]
+    alt, loop = r["data"]["blocks"]
+    assert [b["label"] for b in alt["branches"]] == ["good", "bad"] and [len(b["edgeIds"]) for b in alt["branches"]] == [1, 1] and len(loop["edgeIds"]) == 3
+    assert r["data"]["unknown"] == ['links A: {"x": "y"}']
+    again = read(write(r))
+    assert again == r  # nothing is lost or moved
+    for sign in ("->", "-->", "->>", "-->>", "-x", "--x", "-)", "--)", "<<->>", "<<-->>", "-|\\", "--|/", "/|-", "\\|--", "-//", "--\\\\", "//-"):
+        one = read(f"sequenceDiagram\n  A{sign}B: x")
+        assert len(one["edges"]) == 1 and f"A{sign}B: x" in write(one), sign
+    for bad in ("sequenceDiagram\n  end", "sequenceDiagram\n  loop x\n  A->>B: y"):
+        with pytest.raises(GraphError):
+            read(bad)
+
+
+def test_d2_connections_have_fields():
+    read, write = FORMATS["d2"]
+    r = read('''direction: right # a comment
+a: Alpha {shape: circle; style.fill: "#ff0; x"}
+a -> b: go {
+  style.stroke: red
+  source-arrowhead: 1 { shape: diamond }
+}
+c: {
+  d -> _.a
+  "e.f".tooltip: dotted
+}
+(a -> b)[0].style.opacity: 0.4
+b <- a <-> c.d: twice
+''')
+    own = {n["id"]: n for n in r["nodes"]}
+    assert r["data"] == {"direction": "right"} and own["a"]["label"] == "Alpha" and own["a"]["shape"] == "circle" and own["a"]["data"] == {"style.fill": "#ff0; x"}
+    first = r["edges"][0]
+    assert (first["source_id"], first["target_id"], first["label"]) == ("a", "b", "go")
+    assert first["data"] == {"style.stroke": "red", "source-arrowhead": "1", "source-arrowhead.shape": "diamond", "style.opacity": "0.4"}
+    assert [(e["source_id"], e["target_id"], e.get("mode")) for e in r["edges"][1:]] == [("c.d", "a", None), ("a", "b", None), ("a", "c.d", "bidirectional")]
+    assert own["c.d"]["parent_id"] == "c" and own["c.e.f"]["data"] == {"tooltip": "dotted"}
+    again = read(write(r))
+    assert [(n["id"], n.get("shape"), n.get("data")) for n in again["nodes"] if n["id"] in ("a", "b")] == [(n["id"], n.get("shape"), n.get("data")) for n in r["nodes"] if n["id"] in ("a", "b")]
+    assert [(e["source_id"], e["target_id"], e.get("data")) for e in again["edges"]] == [(e["source_id"], e["target_id"], e.get("data")) for e in r["edges"]]
+    for bad in ("a: {", "}"):
+        with pytest.raises(GraphError):
+            read(bad)
+
+
+def test_pajek_names_edges_and_keeps_attributes():
+    read, write = FORMATS["pajek"]
+    r = read('*Network "net"\n*Vertices 3\n1 "one" 0.1 0.2 ic Red\n2\n*Arcs\n1 2 3.5 l "first" c Blue\n1 2\n*Edges\n3 2\n')
+    assert r["id"] == "net" and r["nodes"][0] == {"id": "1", "label": "one", "data": {"attributes": ["0.1", "0.2", "ic", "Red"]}}
+    assert [e["id"] for e in r["edges"]] == ['pajek:edge:["[\\"directed\\",\\"1\\",\\"2\\"]",0]', 'pajek:edge:["[\\"directed\\",\\"1\\",\\"2\\"]",1]', 'pajek:edge:["[\\"undirected\\",\\"2\\",\\"3\\"]",0]']
+    assert r["edges"][0]["label"] == "first" and r["edges"][0]["data"] == {"attributes": ["c", "Blue"]} and r["edges"][0]["weight"] == 3.5
+    again = read(write(r))
+    assert [e["id"] for e in again["edges"]] == [e["id"] for e in r["edges"]] and again["nodes"][0] == r["nodes"][0]
+    for bad in ("*Vertices 1\n*Arcs\n1 2", "*Vertices 2\n1 \"a\" [1-2]", "*Matrix\n1", "*Vertices 2\n*Arcs\n1 2 1 l"):
+        with pytest.raises(GraphError):
+            read(bad)
+
+
 def test_documents_and_spark(spark):
     g = create_graph(spark, PLAIN["nodes"], PLAIN["edges"])
     back = from_document(spark, to_document(g, "graphml"), "graphml")
