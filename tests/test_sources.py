@@ -148,6 +148,18 @@ def test_pajek_names_edges_and_keeps_attributes():
             read(bad)
 
 
+def test_support_is_what_a_probe_shows():
+    from arcloom.sources.support import FEATURES, format_support, get_format_support
+
+    table = format_support()
+    assert set(table) == set(FORMATS) and all(set(x) == set(FEATURES) and set(x.values()) <= {"full", "partial", "none"} for x in table.values())
+    assert table["graphml"]["weight"] == table["jgf"]["hierarchy"] == table["gml"]["undirected"] == "full"
+    assert table["tgf"]["weight"] == table["tgf"]["hierarchy"] == table["mermaid/sequence"]["undirected"] == "none"
+    assert {k for k, x in table.items() if x["directed"] == "none"} == {"mermaid/er"}  # relations have no direction
+    with pytest.raises(GraphError):
+        get_format_support("nothing")
+
+
 def test_documents_and_spark(spark):
     g = create_graph(spark, PLAIN["nodes"], PLAIN["edges"])
     back = from_document(spark, to_document(g, "graphml"), "graphml")
