@@ -8,6 +8,8 @@ structure. Parquet is only the container, so any store that Spark reaches can ho
 from __future__ import annotations
 
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,8 @@ BLOCK_IDS = 1 << 20
 SELECT_STEP = 256
 #: Words kept with their ids in each Python worker, and the longest that is kept.
 KEPT_WORDS, KEPT_CHARS = 1_000_000, 48
+#: First words of texts kept in each worker, words in one call of the library, and bytes of text encoded at a time.
+KEPT_FIRSTS, CALL_WORDS, SLICE_BYTES = 100_000, 256, 1 << 20
 
 
 class EliasFano:
@@ -84,6 +88,14 @@ ODD_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008
 PAIRS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c")
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class TokenEncoder:
     """Ids by the tokenizers library, with the ids of frequent words kept.
 
@@ -103,6 +115,7 @@ class TokenEncoder:
         #: Each sign of a token stands for one byte of text.
         self.widths = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
         self.kept: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {"": b""}
 
     def plain(self, text: str) -> bool:
         """Whether every space of the text stands before a character that is not white space, and no special string is in it."""
@@ -113,32 +126,54 @@ class TokenEncoder:
         return text.isascii() or not any(c in text for c in ODD_WIDE)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+        return packed(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     def words(self, words: list[str]) -> dict[str, bytes]:
         """The ids of words that each follow a space, from one call; none is empty or starts with white space."""
-        ids = np.array(self.library.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.cumsum([1 + len(w.encode("utf-8", "surrogatepass")) for w in words])
-        cuts = [0, *np.searchsorted(np.cumsum(self.widths[ids]), ends, side="left") + 1]
-        flat = ids.tobytes()
-        return {w: flat[4 * a : 4 * b] for w, a, b in zip(words, cuts, cuts[1:], strict=False)}
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if not self.plain(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        kept = self.kept
-        try:
-            return self.whole(first) + b"".join(map(kept.__getitem__, rest))
-        except KeyError:
-            found = self.words(list({w for w in rest if w not in kept}))
-            out = b"".join([self.whole(first), *[kept[w] if w in kept else found[w] for w in rest]])
-            if len(kept) < KEPT_WORDS:
-                kept.update((w, ids) for w, ids in found.items() if len(w) <= KEPT_CHARS)
-            return out
+        text = " " + " ".join(words)
+        flat = packed(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        sizes = map(len, words) if text.isascii() else (len(w.encode("utf-8", "surrogatepass")) for w in words)
+        ends = np.cumsum(np.fromiter(sizes, dtype=np.int64, count=len(words)) + 1)
+        cuts = (4 * np.searchsorted(np.cumsum(self.widths[np.frombuffer(flat, dtype="<u4")]), ends, side="left") + 4).tolist()
+        return {w: flat[a:b] for w, a, b in zip(words, [0, *cuts], cuts, strict=False)}
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts as little-endian unsigned 32-bit integers; new words of all of them go in few calls."""
+        split = [t.split(" ") if t and self.plain(t) else None for t in texts]
+        heads = [p.pop(0) if p else "" for p in split]
+        fresh: set[str] = set()
+        for p in split:
+            if p:
+                fresh.update(p)
+        kept, new = self.kept, list(fresh.difference(self.kept))
+        for at in range(0, len(new), CALL_WORDS):
+            kept.update(self.words(new[at : at + CALL_WORDS]))
+        firsts = list({h for h in heads if h and h not in self.firsts})
+        self.firsts.update((h, packed(e.ids)) for h, e in zip(firsts, self.library.encode_batch_fast(firsts, add_special_tokens=False), strict=True))
+        out = [(self.whole(t) if t else b"") if p is None else self.firsts[h] + b"".join(map(kept.__getitem__, p)) for t, p, h in zip(texts, split, heads, strict=True)]
+        if len(kept) > KEPT_WORDS:  # the words met first are the frequent ones
+            for w in new:
+                del kept[w]
+        else:
+            for w in new:
+                if len(w) > KEPT_CHARS:
+                    del kept[w]
+        if len(self.firsts) > KEPT_FIRSTS:
+            self.firsts = {"": b""}
+        return out
+
+
+def text_slices(batches, column: int = 1, limit: int = SLICE_BYTES):
+    """Record batches of about ``limit`` bytes of a text column at most, or of one row."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")) - at)
+            yield batch.slice(at, n)
+            at += n
 
 
 _encoders: dict[str, TokenEncoder] = {}
@@ -183,9 +218,10 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(own.encode(text.as_py() or "") + end)
+        for batch in text_slices(batches):
+            coded = own.encode_all([t or "" for t in batch.column(1).to_pylist()])
+            for doc_id, own_ids in zip(batch.column(0).to_pylist(), coded, strict=True):
+                ids.append(own_ids + end)
                 names.append(doc_id)
                 size += len(ids[-1]) // 4
                 if size >= block_ids:
