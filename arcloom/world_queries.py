@@ -398,3 +398,55 @@ def statements_nations(spark, sf):
     lines = V._frame(spark, sf, "SELECT concat('<http://x/', 'n', n_nationkey, '> <http://x/in> <http://x/r', n_regionkey, '> .') AS value FROM nation")
     g = tables.from_rdf_dataset(tables.to_rdf_dataset(tables.from_rdf(lines)))
     return tables.to_rdf(g).toDF("line")
+
+
+def _ring(spark, n: int):
+    return create_graph(spark, [{"id": f"a{i}"} for i in range(n)], [{"id": f"e{i}", "source_id": f"a{i}", "target_id": f"a{(i + 1) % n}", "weight": 1.0} for i in range(n)])
+
+
+@query(
+    "SELECT kind, a::BIGINT AS step, concat('e', a % 8) AS edge, concat('a', (a + 1) % 8) AS node FROM range(20) x(a), (VALUES ('random', 20), ('weighted', 20), ('all nodes', 7), ('all edges', 8), ('half the nodes', 3)) t(kind, n) WHERE a < n"
+)
+def walks_ring(spark, sf):
+    """On a directed ring every walk, whatever its draws, has one way to go."""
+    g = _ring(spark, 8)
+    walk = coverage.gen_random_walk(g, 20, 5, "a0")
+    found = {
+        "random": walk, "weighted": coverage.gen_weighted_random_walk(g, 20, 5, "a0"), "all nodes": coverage.take_until_node_coverage(walk, g, 1.0, "a0"), "all edges": coverage.take_until_edge_coverage(walk, g, 1.0),
+        "half the nodes": coverage.take_until_node_coverage(walk, g, 0.5, "a0"),
+    }
+    return reduce(DataFrame.unionByName, [w.select(F.lit(k).alias("kind"), "step", "edge", "node") for k, w in found.items()])
+
+
+@query("SELECT level, concat('n', a) AS id, CASE WHEN a < 5 OR level = 0 THEN 'n0' ELSE 'n5' END AS community FROM range(10) x(a), (VALUES (0), (1)) t(level)")
+def girvan_newman_two_cliques(spark, sf):
+    edges = [(a, b) for a in range(10) for b in range(a + 1, 10) if (a < 5) == (b < 5) or (a, b) == (4, 5)]
+    g = create_graph(spark, [{"id": f"n{i}"} for i in range(10)], [{"id": f"{a}-{b}", "source_id": f"n{a}", "target_id": f"n{b}"} for a, b in edges], UNDIRECTED)
+    return reduce(DataFrame.unionByName, [community.get_girvan_newman_communities(g, k).select(F.lit(k).alias("level"), "id", "community") for k in (0, 1)])
+
+
+@query(
+    f"WITH {E}, {L} " + said(valid="0", node_coverage="0.5", edge_coverage="0.375", snapshot="'{{\"a\":2,\"b\":[1]}}'".replace("{{", "{").replace("}}", "}"), calls="1", counted="12", counted_edges="12", indexed="(SELECT count(*) FROM e)", placed="(SELECT count(*) FROM n)", visits="'main>side'")
+    + " UNION ALL " + listed(configured="SELECT id || ':' || CAST(weight AS BIGINT) AS x FROM e")
+)
+def odds_and_ends_lands(spark, sf):
+    g = V.lands(spark, sf)
+    ring = _ring(spark, 8)
+    share = coverage.get_coverage(ring, coverage.gen_predefined_walk(ring, ["e0", "e1", "e2"], "a0"), "a0")
+    calls = []
+    counted = generators.memoize_by_graph(lambda graph: calls.append(1) or graph.edges.count())
+    counted(g), counted(g)
+    clock = generators.create_graph_from_transition(spark, lambda s, _: (s + 1) % 12, 0, ["tick"])
+    index = generators.get_index(g)
+    indexed = index.edges.count()
+    generators.invalidate_index(index)
+    frame = layout.get_force_layout(g, 5)
+    git = create_graph(spark, [{"id": "main"}, {"id": "side"}], [{"id": "e0", "source_id": "main", "target_id": "side"}])
+    from .sources.registry import from_document, to_document
+
+    back = from_document(spark, to_document(git, "mermaid/gitgraph"), "mermaid/gitgraph")
+    one = told(
+        spark, valid=changes.validate_graph(g).count(), node_coverage=share["nodes"], edge_coverage=share["edges"], snapshot=generators.get_serialized_snapshot({"b": [1], "a": 2}), calls=len(calls), counted=clock.nodes.count(),
+        counted_edges=clock.edges.count(), indexed=indexed, placed=frame.filter("isnotnull(x) AND NOT isnan(x) AND isnotnull(y) AND NOT isnan(y)").count(), visits=back.edges.select(F.concat("source_id", F.lit(">"), "target_id")).first()[0],
+    )
+    return one.unionByName(lists(configured=changes.to_edge_config(g).select(F.concat("id", F.lit(":"), F.col("weight").cast("long")))))
