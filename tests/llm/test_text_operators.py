@@ -203,6 +203,78 @@ def test_extract_text_by_brute_force(spark, monkeypatch, edges):
     assert extracted(df) == Counter((i, t, len(t)) for i, t in want.items())
 
 
+def test_shared_lines_of_long_articles(monkeypatch):
+    """Alignments that are halved are as long as those that are not; many equal pairs of lines take no quadratic time."""
+    from arcloom.llm import html_extract as H
+
+    assert len(H.shared_lines(["a", "b"] * 10_000, ["b", "a"] * 10_000)) == 19_999
+    draw = random.Random(11)
+    for _ in range(200):
+        a, b = ([draw.choice("abcd") for _ in range(draw.randint(0, 25))] for _ in range(2))
+        want = H.aligned(a, b)
+        monkeypatch.setattr(H, "MATCHES", draw.randint(0, 6))
+        got = H.aligned(a, b)
+        monkeypatch.undo()
+        rest = iter(b)
+        assert len(got) == len(want) and got == sorted(set(got)) and all(a[i] in rest for i in got)
+
+
+def test_html_running_text():
+    """Which lines of an article no mark holds back from the differencing."""
+    from arcloom.llm.html_extract import page_lines
+
+    html = """<div>out</div><article><h1><a>T</a></h1><div>Share</div><section><p>a</p>more</section><ul><li><a href=x>Print</a> &#8226;<li>b <a>c</a></ul>own
+        <div><blockquote>q</blockquote><table><tr><td>d</table></div><p><a>next</a></p></article>"""
+    inside, _, _, loose = page_lines(html)
+    assert inside == ["T", "Share", "a", "more", "Print •", "b c", "own", "q", "d", "next"]
+    assert [inside[i] for i in loose] == ["Share", "more", "Print •", "next"]
+
+
+def test_extract_text_differences_articles(spark):
+    """Template that no name marks goes from articles as well; lines of running text stay, and copies are one page."""
+    article = "<body><div>Menu</div><article><div>Share this</div><p>{}</p><p>Free to copy.</p><ul><li><a href=\"/\">All posts</a></ul></article></body>"
+    table = [(i, f"http://a/x/{i}", article.format(f"text {i}")) for i in range(3)]
+    table += [(10 + i, f"http://p/x/{i}", PLAIN.format("same" if 1 <= i <= 4 else f"text {i}")) for i in range(6)]
+    table += [(20, "http://s/a", "<p>M</p><p>a</p><p>N</p>"), (21, "http://s/a-b", "<p>M</p><p>b</p>"), (22, "http://s/a/c", "<p>c</p><p>N</p>")]
+    table.append((3, "http://a/x/1?copy", article.format("text 1").replace("div>Share this</div", "p>Share this</p")))
+    want = {i: f"text {i}\nFree to copy." for i in range(3)} | {3: "Share this\ntext 1\nFree to copy.", 10: "text 0", 15: "text 5", **{10 + i: "same" for i in range(1, 5)}}
+    want |= {20: "M\na", 21: "M\nb", 22: "c"}  # the nearest to /a is /a/c, though a-b comes before a/c as text
+    df = spark.createDataFrame(table, "page_id long, url string, html string")
+    assert extracted(df) == Counter((i, t, len(t)) for i, t in want.items())
+
+
+@pytest.mark.parametrize("edges", [1000, 20])
+def test_extract_text_of_articles_by_brute_force(spark, monkeypatch, edges):
+    """Every article's text from its neighbors on both sides in one sorted list of its host's pages, copies taken once."""
+    from arcloom.llm import html_extract as H
+
+    draw = random.Random(7)
+    kinds = {"Share": "<div>{}</div>", "Follow": "<section>{}</section>", "Print": "<p><a>{}</a></p>", "Free": "<p>{}</p>"}
+    table, pages = [], {}
+    for i in range(90):
+        lines = [x for x in ("Share", "Free", f"text {i if i % 6 else 0}", "Follow", "Free", "Print") if x.startswith("text") or draw.random() < 0.8]
+        host, parts = f"h{draw.randrange(3)}", ["", draw.choice(["a", "a-b"]), str(draw.randrange(30))]
+        url = f"https://{host}{'/'.join(parts)}?q={i}"
+        table.append((i, url, "<div>out</div><article>" + "".join(kinds.get(x, "<p>{}</p>").format(x) for x in lines) + "</article>"))
+        pages[i] = host, tuple(lines), (parts, i)
+    classes = {}
+    for host, lines, place in pages.values():
+        classes[host, lines] = min(place, classes.get((host, lines), place))
+    assert len(classes) < len(pages)
+    texts = {}
+    for host in {h for h, _ in classes}:
+        placed = [lines for (h, lines), _ in sorted(classes.items(), key=lambda c: c[1]) if h == host]
+        for k, lines in enumerate(placed):
+            near = placed[max(k - 1, 0) : k] + placed[k + 1 : k + 2]
+            template = set.intersection(*(H.shared_lines(list(lines), list(x)) for x in near))
+            texts[host, lines] = "\n".join(x for i, x in enumerate(lines) if i not in template or x not in ("Share", "Follow", "Print"))
+    want = Counter((i, texts[h, x], len(texts[h, x])) for i, (h, x, _) in pages.items())
+    assert 0 < sum("Share" in t for t in texts.values()) < sum("Share" in x for _, x in texts)
+    monkeypatch.setattr(H, "EDGES", edges)
+    df = spark.createDataFrame(table, "page_id long, url string, html string").repartition(5)
+    assert extracted(df) == want
+
+
 # 4
 
 
