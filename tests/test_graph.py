@@ -417,3 +417,34 @@ def test_label_propagation_full_supply(spark):
         label = fresh
     got = {r["id"]: r["community"] for r in QUERIES["label_propagation_full_supply"](spark, SMALLEST).collect()}
     assert got == label
+
+
+def many_components(spark, seed, mode="undirected"):
+    """Some components with loops, parallel edges and edges to missing nodes, their nodes mixed with each other."""
+    import random
+
+    draw = random.Random(seed)
+    names = [f"{c}.{i}" for c in range(9) for i in range(draw.randint(1, 25))]
+    draw.shuffle(names)
+    of = {}
+    for v in names:
+        of.setdefault(v.split(".")[0], []).append(v)
+    pairs = [(draw.choice(vs), draw.choice(vs)) for vs in of.values() for _ in range(3 * len(vs))] + [(names[0], "missing"), ("missing", names[-1])]
+    draw.shuffle(pairs)
+    modes = (None, "directed", "undirected", "bidirectional")
+    return create_graph(spark, [{"id": v} for v in names], [{"id": f"e{k}", "source_id": a, "target_id": b, "weight": float(draw.randint(1, 9)), "mode": draw.choice(modes)} for k, (a, b) in enumerate(pairs)], mode)
+
+
+def test_louvain_of_large_graphs(spark, monkeypatch):
+    from arcloom.plans import kernels
+
+    for seed in range(2):
+        g = many_components(spark, seed)
+        one = community.get_louvain_communities(g, 2.0).collect()
+        with monkeypatch.context() as m:
+            m.setattr(kernels, "KERNEL_ROWS", 10)  # as for a graph that one kernel does not take
+            m.setattr(kernels, "PART_ROWS", 100)
+            assert sorted(community.get_louvain_communities(g, 2.0).collect()) == sorted(one) and len({r["community"] for r in one}) > 9
+    empty = create_graph(spark)
+    monkeypatch.setattr(kernels, "KERNEL_ROWS", -1)
+    assert community.get_louvain_communities(empty).collect() == [] and len(community.get_louvain_communities(make(spark, "", nodes="a b")).collect()) == 2
