@@ -468,3 +468,17 @@ def test_depth_first_orders_of_large_graphs(spark, monkeypatch):
     assert told(traversal.dfs(g, spark.createDataFrame([(s,) for s in first], "id string"))) == in_order
     with pytest.raises(GraphError, match="no start node"):
         traversal.get_preorder(make(spark, "1:a-b 2:c-d 3:e-f 4:g-h"))
+
+
+def test_label_propagation_that_swaps_for_ever(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(community, "stored", lambda df, name, own=community.stored: made.append(name) or own(df, name))
+    g = make(spark, "1:a~x 2:a~y 3:b~x 4:b~y 5:B~x 6:é~y 7:e~x 8:x~x", "undirected")
+    got = [dict(community.get_label_propagation_communities(g, k).collect()) for k in (1000, 1001)]
+    around, want = {"x": "abBe", "y": "abé", "a": "xy", "b": "xy", "B": "x", "é": "y", "e": "x"}, []
+    label = {v: v for v in around}
+    for _ in range(1001):
+        seen = {v: [label[u] for u in us] for v, us in around.items()}
+        label = {v: min(xs, key=lambda x: (-xs.count(x), "abBeéxy".index(x))) for v, xs in seen.items()}
+        want = [*want[-1:], label]
+    assert made.count("labels") < 20 and got == want and want[0] != want[1]
